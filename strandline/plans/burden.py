@@ -70,8 +70,8 @@ _TIMELINE = f"""WITH {_SERIES}, {_TARGETS},
 own AS (SELECT m.*, t.baseline_mm FROM m JOIN t USING (subject, lesion)),
 d AS (SELECT DISTINCT subject, day FROM own),
 g AS (SELECT d.subject, d.day, t.lesion, t.baseline_mm, own.mm FROM d JOIN t USING (subject) LEFT JOIN own ON own.subject = d.subject AND own.lesion = t.lesion AND own.day = d.day),
-l AS (SELECT *, coalesce(last_value(mm IGNORE NULLS) OVER (PARTITION BY subject, lesion ORDER BY day ROWS UNBOUNDED PRECEDING), baseline_mm) AS at FROM g),
-s AS (SELECT subject, day, round(sum(at), 6) AS sld, round(sum(baseline_mm), 6) AS baseline_sld FROM l GROUP BY ALL),
+l AS (SELECT *, coalesce(last_value(mm IGNORE NULLS) OVER (PARTITION BY subject, lesion ORDER BY day ROWS UNBOUNDED PRECEDING), baseline_mm) AS mm_at FROM g),
+s AS (SELECT subject, day, round(sum(mm_at), 6) AS sld, round(sum(baseline_mm), 6) AS baseline_sld FROM l GROUP BY ALL),
 fresh AS (
   SELECT DISTINCT x.subject, x.day FROM (SELECT subject, lesion, min(day) AS day FROM m ANTI JOIN t USING (subject, lesion) GROUP BY ALL) x
   JOIN (SELECT subject, min(day) AS start FROM d GROUP BY ALL) y USING (subject) WHERE x.day > y.start),
