@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from strandline.llm.common import WORD, park, table
 
 SEED = "mix-1"
+BLANKS, GAP = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    trimmed = F.btrim(text, F.lit(BLANKS))
+    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, GAP))).otherwise(0).cast("long")
 
 
 def quality_weight(text: Column, size: Column) -> Column:
