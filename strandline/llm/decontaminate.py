@@ -7,15 +7,13 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import LOWER, UPPER, park, table
 
-#: A word: letters, digits and all characters beyond ASCII, after A-Z became a-z.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before the case is folded, to count words.
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z became a-z, and before. A word: letters, digits and all characters beyond ASCII.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _lowered(text: Column) -> Column:
-    ascii_only = F.octet_length(text) == F.length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+def words_between(text: Column, gap: str) -> Column:
+    return F.array_remove(F.split(text, gap), "")
 
 
 def _let(value: Column, body) -> Column:
@@ -43,32 +41,41 @@ def _selected(hashes: Column, span: int, k: int) -> Column:
 
 
 def _anchors(rows: DataFrame, keys: list[str], span: int, k: int, short: list[int], items: bool) -> DataFrame:
-    """keys + (size, f, at, around): fingerprints of whole windows (size = span) and, for short items, of all runs of their lengths.
+    """keys + (size, f, at, h): for each word that begins one, the hash of a k-word gram (size = span) and, for short items, of runs of their lengths.
 
-    ``around``: hashes of the words from at - (span - k) to at + span, clipped to the text; ``lead``: how many of them precede ``at``.
+    ``h`` holds the hashes of all words of the text. It passes through a generator of one row, so that it is
+    worked out once for a text and not once for each of its words.
     """
-    words = F.transform(F.regexp_extract_all(_lowered(F.col("text")), F.lit(WORDS), F.lit(0)), lambda w: F.xxhash64(w))
-    reach = span - k
-
-    def spread(h: Column) -> Column:
-        whole = F.transform(F.coalesce(_selected(h, span, k), F.array()), lambda x: F.struct(F.lit(span).alias("size"), x["f"].alias("f"), x["at"].alias("at")))
-        parts = [whole]
-        for m in short:
-            runs = F.when(F.size(h) == m, _grams(h, m)).otherwise(F.array().cast("array<bigint>")) if items else _grams(h, m)
-            parts.append(F.transform(runs, lambda f, i, m=m: F.struct(F.lit(m).alias("size"), f.alias("f"), i.alias("at"))))
-        context = lambda x: F.struct(
-            x["size"].alias("size"),
-            x["f"].alias("f"),
-            x["at"].alias("at"),
-            F.least(x["at"], F.lit(reach)).alias("lead"),
-            F.slice(h, F.greatest(x["at"] - reach, F.lit(0)) + 1, F.least(x["at"], F.lit(reach)) + span).alias("around"),
-        )
-        return F.transform(F.concat(*parts) if len(parts) > 1 else whole, context)
-
-    return rows.select(*keys, F.explode(_let(words, spread)).alias("a")).select(*keys, "a.*")
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5) -> DataFrame:
+    h = F.transform(words_between(F.translate("text", UPPER, LOWER), GAP), lambda w: F.xxhash64(w))
+    once = rows.select(*keys, F.explode(F.array(F.struct(h.alias("h")))).alias("s")).select(*keys, F.col("s.h").alias("h"))
+    each = once.select(*keys, "h", F.posexplode("h").alias("at", "w"))
+    run = lambda n: F.xxhash64(*[F.get("h", F.col("at") + d) for d in range(n)])
+    left = F.size("h") - F.col("at")
+    if not short:
+        return each.where(left >= k).select(*keys, F.lit(span).alias("size"), run(k).alias("f"), "at", "h")
+    runs = [F.when(left >= k, F.struct(F.lit(span).alias("size"), run(k).alias("f")))]
+    for m in short:
+        runs.append(F.when((F.size("h") == m) & (F.col("at") == 0) if items else left >= m, F.struct(F.lit(m).alias("size"), run(m).alias("f"))))
+    return each.select(*keys, "at", "h", F.explode(F.array(*runs)).alias("r")).where("r is not null").select(*keys, "r.size", "r.f", "at", "h")
+
+
+def _with_context(rows: DataFrame, span: int, k: int) -> DataFrame:
+    """``rows`` with, for h, the hashes of the words within any window of ``span`` that holds the gram (``around``), and how many precede it (``lead``).
+
+    They too pass through a generator of one row: filters on them then stay above, on the rows that have met.
+    """
+    lead = F.least(F.col("at"), F.lit(span - k))
+    context = F.explode(F.array(F.struct(lead.alias("lead"), F.slice("h", F.col("at") - lead + 1, lead + span).alias("around")))).alias("c")
+    return rows.select(*[c for c in rows.columns if c != "h"], context).select(*[c for c in rows.columns if c != "h"], "c.lead", "c.around")
+
+
+def _kept(span: int, k: int) -> Column:
+    """Whether winnowing keeps the gram: some window holds none less, and none equal before it. Short runs are all kept."""
+    picks = F.coalesce(_selected(F.col("around"), span, k), F.array())
+    return (F.col("size") < span) | F.exists(picks, lambda x: x["at"] == F.col("lead"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """``docs`` with a struct column ``_hit`` (n_words, n_hit, n_items, items, contaminated).
 
     Winnowing keeps, of every ``span`` consecutive words, the least hash of its ``k``-word grams, so two texts
@@ -76,20 +83,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     are joined by hash and each meeting is extended word by word over the windows that hold the gram; only
     windows equal in every word hash remain. Items with fewer words are one window each, sought as runs of their own length.
 
-    The join carries narrow rows; Spark broadcasts the benchmark side only while its measured size allows,
-    and splits skewed gram hashes otherwise. Documents are regrouped by id and a hash of their text.
+    Of the document side, grams meet the benchmark's first and are winnowed after: the two filters commute, and
+    few grams meet. The benchmark's grams are counted: up to ``broadcast_rows`` of them (some 200 bytes each) are
+    broadcast; beyond, a shuffled join of narrow rows finds the documents that can match first. Documents are regrouped by id
+    and a hash of their text.
 
     Nulls: a null text has no words; a null item_id counts as no item but its windows do. Repeated rows get
     equal results. Empty tables are fine on either side. A column ``_hit`` of the input is replaced.
     """
     own = [c for c in docs.columns if c != "_hit"]
     items = benchmark.select(F.col("item_id"), F.col("text")).where("text is not null")
-    lengths = items.select(F.regexp_count("text", F.lit(ANY_CASE)).alias("n")).where((F.col("n") > 0) & (F.col("n") < span)).distinct()
+    lengths = items.select(F.size(words_between(F.col("text"), GAP_ANY_CASE)).alias("n")).where((F.col("n") > 0) & (F.col("n") < span)).distinct()
     short = sorted(r.n for r in lengths.collect())  # at most span - 1 values
-    known = _anchors(items, ["item_id"], span, k, short, items=True)
-    known = known.select("item_id", F.col("size").alias("i_size"), F.col("f").alias("i_f"), F.col("lead").alias("i_lead"), F.col("around").alias("i_around"))
+    known = _with_context(_anchors(items, ["item_id"], span, k, short, items=True), span, k).where(_kept(span, k))
+    known = park(known.select("item_id", F.col("size").alias("i_size"), F.col("f").alias("i_f"), F.col("lead").alias("i_lead"), F.col("around").alias("i_around")), "winnowed")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_th")).where("text is not null")
-    met = _anchors(keyed, ["doc_id", "_th"], span, k, short, items=False).join(known, (F.col("f") == F.col("i_f")) & (F.col("size") == F.col("i_size")))
+    same_gram = (F.col("f") == F.col("i_f")) & (F.col("size") == F.col("i_size"))
+    if known.count() <= broadcast_rows:
+        known = F.broadcast(known)
+    else:
+        narrow = _anchors(keyed, ["doc_id", "_th"], span, k, short, items=False).select("doc_id", "_th", "f", "size")
+        some = park(narrow.join(known.select("i_f", "i_size").distinct(), same_gram, "left_semi").select(F.col("doc_id").alias("_s_id"), F.col("_th").alias("_s_th")).distinct(), "candidates")
+        keyed = keyed.join(some, F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.col("_th") == F.col("_s_th")), "left_semi")
+    met = _anchors(keyed, ["doc_id", "_th"], span, k, short, items=False).join(known, same_gram)
+    met = _with_context(met, span, k).where(_kept(span, k))
 
     def same(back: Column) -> Column:
         """Whether the window that starts ``back`` words before the gram is whole and equal on both sides."""
@@ -108,7 +125,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
 
     hits = spans.groupBy("doc_id", "_th").agg(covered(F.collect_list(F.struct("at", "size"))).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("some"))).alias("items"))
     hits = park(hits.select(F.col("doc_id").alias("_h_id"), F.col("_th").alias("_h_th"), "n_hit", "items"), "hits")
-    n_words = F.coalesce(F.regexp_count(F.col("text"), F.lit(ANY_CASE)), F.lit(0)).cast("long")
+    n_words = F.coalesce(F.size(words_between(F.col("text"), GAP_ANY_CASE)), F.lit(0)).cast("long")
+    n_words = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_words)
     counted = docs.select(*own, F.struct(n_words.alias("n_words"), F.xxhash64("text").alias("th")).alias("_c"))
     joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("_h_id")) & (F.col("_c.th") == F.col("_h_th")), "left")
     found = F.transform(F.coalesce("items", F.array()), lambda x: x.cast("string"))
