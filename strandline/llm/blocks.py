@@ -22,7 +22,7 @@ class Blocks:
     that reads the buckets in place: the text is shuffled only while it is written.
     """
 
-    def __init__(self, docs: DataFrame, block_bytes: int = 16 << 20, least: int = 1):
+    def __init__(self, docs: DataFrame, block_bytes: int = 8 << 20, least: int = 1):
         spark = docs.sparkSession
         self.spark = spark
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -138,7 +138,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], unseen: float, rounds:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def score_documents(docs: DataFrame, learn: F.Column, block_bytes: int = 16 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, learn: F.Column, block_bytes: int = 8 << 20) -> DataFrame:
     """``docs`` (doc_id, text) with n_tokens, n_known, train_tokens, base_score and score; learned from rows where ``learn`` holds.
 
     score: log10 of the product over tokens of a*c(v,w)/c(v) + b*c(w)/N + c/(V+1), v the word before, with

@@ -240,7 +240,7 @@ def _by_kind(replies) -> dict[int, dict[int, bytes]]:
 KIND = "n_bytes long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id and KIND, the byte spans that a smaller doc_id's text holds too.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id; strings are
