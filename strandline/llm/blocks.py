@@ -87,6 +87,19 @@ def span_hashes(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     return mixed((s[end] - s[start]) * down[start])
 
 
+def packed(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Unsigned or small numbers as planes of bytes, lowest first; ascending ones as steps. High planes are nearly all zero, which compresses away."""
+    values = values.astype("<u8")
+    if ascending and len(values):
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes, ascending: bool = False) -> np.ndarray:
+    values = np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+    return np.cumsum(values, dtype=np.uint64) if ascending else values
+
+
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, *range(0x09, 0x0E)]] = True
 

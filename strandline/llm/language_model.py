@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.blocks import START_TOKEN, Blocks, mixed, tokens
+from strandline.llm.blocks import START_TOKEN, Blocks, mixed, packed, tokens, unpacked
 from strandline.llm.common import fold, new_folder, park, remove_folder, table
 
 BUCKETS = 24  # context-frequency buckets: powers of two
@@ -46,7 +46,7 @@ def _ship(parts: int):
         for n, keys in ((1, word), (2, pair)):
             distinct, _, own = _counted(keys, learn)
             cuts = _cuts(distinct, parts)
-            rows += [(n, part, block["block"][0].as_py(), distinct[a:b].tobytes(), own[a:b].astype("<u4").tobytes()) for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            rows += [(n, part, block["block"][0].as_py(), packed(distinct[a:b], ascending=True), packed(own[a:b])) for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         cols = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["n", "part", "block", "keys", "own"])
@@ -60,8 +60,8 @@ def _sum_up(part):
 
     n, number = part["n"][0].as_py(), part["part"][0].as_py()
     blocks = part["block"].to_pylist()
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in part["keys"]]
-    own = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in part["own"]]).astype(np.int64)
+    keys = [unpacked(x.as_py(), ascending=True) for x in part["keys"]]
+    own = np.concatenate([unpacked(x.as_py()) for x in part["own"]]).astype(np.int64)
     sizes = np.array([len(k) for k in keys])
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, own, len(distinct)).astype(np.int64)
@@ -70,7 +70,7 @@ def _sum_up(part):
     for block, size in zip(blocks, sizes.tolist(), strict=True):
         here = np.flatnonzero(every[at : at + size] != own[at : at + size])
         if len(here):
-            rows.append((n, number, block, here.astype("<u4").tobytes(), every[at : at + size][here].astype("<i8").tobytes(), 0, 0))
+            rows.append((n, number, block, packed(here, ascending=True), packed(every[at : at + size][here]), 0, 0))
         at += size
     rows.append((n, number, -1, b"", b"", int(total.sum()), int((total > 0).sum())))
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
@@ -107,7 +107,7 @@ class _Counts:
         for part in range(parts):
             if (n, part) in by:
                 at, values = by[n, part]
-                total[cuts[part] + np.frombuffer(at, "<u4").astype(np.int64)] = np.frombuffer(values, "<i8")
+                total[cuts[part] + unpacked(at, ascending=True).astype(np.int64)] = unpacked(values).astype(np.int64)
         return total[place], (total - own)[place], distinct, total, own
 
 

@@ -63,20 +63,22 @@ def mix(
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, most_epochs)
     cuts = _cuts(narrow, sums, plan)
     plan = plan.join(cuts, plan.source.eqNullSafe(cuts.cut_source), "left").drop("cut_source")
-    plan = plan.withColumnRenamed("source", "_mix_source")
+    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns if c != "left"])
 
     out = fed.join(plan, fed.source.eqNullSafe(plan._mix_source), "left")
-    at_cut = F.floor(F.col("rest") * F.col("_mix_size") / F.greatest(F.col("tied"), F.lit(1))).cast("long")
-    part = F.when(F.col("_mix_key") < F.col("cut_key"), F.col("_mix_size")).when(F.col("_mix_key") == F.col("cut_key"), at_cut).otherwise(F.lit(0).cast("long"))
-    extra = F.when(F.col("_mix_key") < F.col("cut_key"), 1).when((F.col("_mix_key") == F.col("cut_key")) & (at_cut > 0) & (2 * at_cut >= F.col("_mix_size")), 1).otherwise(0)
+    key, own_size = F.col("_mix_key"), F.col("_mix_size")
+    at_cut = F.floor(F.col("_mix_rest") * own_size / F.greatest(F.col("_mix_tied"), F.lit(1))).cast("long")
+    part = F.when(key < F.col("_mix_cut_key"), own_size).when(key == F.col("_mix_cut_key"), at_cut).otherwise(F.lit(0).cast("long"))
+    half = (key == F.col("_mix_cut_key")) & (at_cut > 0) & (2 * at_cut >= own_size)
+    extra = F.when((key < F.col("_mix_cut_key")) | half, 1).otherwise(0)
     return out.select(
         *own,
         F.struct(
-            F.col("_mix_size").alias("size"),
-            F.col("source_size"),
-            F.col("target"),
-            (F.col("epochs") * F.col("_mix_size") + F.coalesce(part, F.lit(0))).alias("taken"),
-            (F.col("epochs") + F.coalesce(extra, F.lit(0))).cast("int").alias("copies"),
+            own_size.alias("size"),
+            F.col("_mix_source_size").alias("source_size"),
+            F.col("_mix_target").alias("target"),
+            (F.col("_mix_epochs") * own_size + F.coalesce(part, F.lit(0))).alias("taken"),
+            (F.col("_mix_epochs") + F.coalesce(extra, F.lit(0))).cast("int").alias("copies"),
         ).alias("_mix"),
     )
 
