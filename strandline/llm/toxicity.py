@@ -144,7 +144,7 @@ def learned_insults(docs: DataFrame, labels: DataFrame, sample: int, most: int =
     part = min(1.0, sample / max(labels.count(), 1))
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     rows = docs.join(F.broadcast(picked.limit(4 * sample)), "doc_id")  # the bound of the sample bounds this side
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    words = F.array_distinct(F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""))
     entries = lambda w: F.transform(F.filter(F.array(*[F.lit(k) for k in (0, 4, 5, 6, 7)]), lambda k: (k == 0) | (F.length(w) > k)), lambda k: F.struct(F.when(k == 0, w).otherwise(F.substr(w, F.lit(1), k)).alias("w"), (k > 0).alias("stem")))
     marks = rows.select(F.explode(F.array_distinct(F.flatten(F.transform(words, entries)))).alias("e"), "toxic").groupBy("e").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     best = marks.where((F.col("bad") >= 8) & (F.col("bad") >= 0.9 * F.col("n")) & (F.length("e.w") > 2)).orderBy(F.desc("bad"), "e.w").limit(most).collect()
