@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-MODULES = ("strandline.plans.burden",)
+MODULES = ("strandline.plans.burden", "strandline.operators.summaries")
 
 
 def query(name: str, sql: str | None = None):
