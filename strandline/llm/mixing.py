@@ -32,6 +32,7 @@ def mix(
     quality: Column | None = None,
     buckets: int = 1024,
     seed: str = SEED,
+    broadcast_sources: int = 10_000,
 ) -> DataFrame:
     """``docs`` with a struct column ``_mix`` (size, source_size, target, taken, copies).
 
@@ -45,7 +46,8 @@ def mix(
 
     Scale: the key order is never sorted as a whole. Rows are summed into ``buckets`` key ranges per source
     (map-side combined), a prefix over these sums finds the range in which the budget ends, and only that
-    range is sorted. A source with a third of all rows is thus spread over all tasks.
+    range is sorted. A source with a third of all rows is thus spread over all tasks. The plan has one short row
+    per source; up to ``broadcast_sources`` of them are broadcast, so texts don't move to meet their source.
 
     Nulls: a null or empty text has size 0 and takes nothing; a null source is a source; a null id hashes as
     empty. Rows with the same key (repeated rows) share the boundary in proportion to their sizes. An empty
@@ -63,7 +65,9 @@ def mix(
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, most_epochs)
     cuts = _cuts(narrow, sums, plan)
     plan = plan.join(cuts, plan.source.eqNullSafe(cuts.cut_source), "left").drop("cut_source")
-    plan = plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns if c != "left"])
+    plan = park(plan.select(*[F.col(c).alias(f"_mix_{c}") for c in plan.columns if c != "left"]), "plan")
+    if plan.count() <= broadcast_sources:
+        plan = F.broadcast(plan)
 
     out = fed.join(plan, fed.source.eqNullSafe(plan._mix_source), "left")
     key, own_size = F.col("_mix_key"), F.col("_mix_size")
