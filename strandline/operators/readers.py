@@ -122,3 +122,23 @@ def certainty_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").try_cast("double")
     score = F.when(k.isNull(), 0.5).when((k > 1) & (k <= 100), F.round(k / 100.0, 4)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), k)))
     return table(spark, sf_dir, "events").select("event_id", score.alias("certainty"))
+
+
+@query("review_timing", """SELECT o_custkey, min(o_orderdate) AS first_seen, max(l_shipdate) AS last_done, CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(l_shipdate AS DATE))) AS BIGINT) AS elapsed_days, count(l_orderkey) AS n_lines
+  FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
+def review_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sight, last completion and days between. Lines are summed up per order before they meet the orders."""
+    done = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("done"), F.count("*").alias("n"))
+    both = table(spark, sf_dir, "orders").join(done, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    out = both.groupBy("o_custkey").agg(F.min("o_orderdate").alias("first_seen"), F.max("done").alias("last_done"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"))
+    return out.select("o_custkey", "first_seen", "last_done", F.datediff(F.to_date("last_done"), F.to_date("first_seen")).cast("long").alias("elapsed_days"), "n_lines")
+
+
+@query("coverage_counts", """SELECT count(*) FILTER (a AND b) AS n_common, count(*) FILTER (a AND NOT b) AS n_only_left, count(*) FILTER (b AND NOT a) AS n_only_right FROM (
+  SELECT c_custkey IS NOT NULL AS a, o_custkey IS NOT NULL AS b FROM customer FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') ON c_custkey = o_custkey)""")
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items common to two readers and those of only one: one grouping of both lists in place of three set operations."""
+    left = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.lit(True).alias("a"), F.lit(False).alias("b"))
+    right = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k"), F.lit(False).alias("a"), F.lit(True).alias("b"))
+    each = left.unionByName(right).groupBy("k").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b"))
+    return each.agg(F.count_if(F.col("a") & F.col("b")).alias("n_common"), F.count_if(F.col("a") & ~F.col("b")).alias("n_only_left"), F.count_if(F.col("b") & ~F.col("a")).alias("n_only_right"))
