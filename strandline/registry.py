@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-MODULES = ("strandline.plans.burden", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.streaming.appends")
+MODULES = ("strandline.plans.burden", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.operators.review", "strandline.streaming.appends", "strandline.functions.text", "strandline.functions.measures")
 
 
 def query(name: str, sql: str | None = None):
