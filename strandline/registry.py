@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-MODULES = ("strandline.plans.burden", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.operators.review", "strandline.streaming.appends", "strandline.functions.text", "strandline.functions.measures")
+MODULES = ("strandline.plans.burden", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.operators.review", "strandline.operators.identity", "strandline.streaming.appends", "strandline.functions.text", "strandline.functions.measures")
 
 
 def query(name: str, sql: str | None = None):
@@ -30,6 +30,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def oracles_so_far() -> dict[str, str]:
+    """SQL of the modules imported before, for queries that build on others."""
+    return dict(_ORACLES)
+
+
 def _load() -> None:
     for m in MODULES:
         import_module(m)
