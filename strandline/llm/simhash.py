@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.common import park, table
+from strandline.llm.similar import set_key_udf, similar_classes
 
 BITS = 64
 
@@ -35,9 +36,12 @@ def fingerprint(text: str | None, width: int = 4, chunk: int = 1 << 16) -> int:
     return int(sum(1 << b for b in range(BITS) if 2 * ones[b] > n))
 
 
-@F.pandas_udf(T.LongType())
-def fingerprint_udf(text: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
+def fingerprint_udf(width: int):
+    @F.pandas_udf(T.LongType())
+    def fingerprints(text: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t, width) for t in text], np.uint64).view(np.int64))
+
+    return fingerprints
 
 
 def exact_parts(n: int, budget: int = 4) -> list[int]:
@@ -220,31 +224,41 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
-def group_near_duplicates(docs: DataFrame, budget: int = 4) -> DataFrame:
-    """``docs`` with long ``_fp``, ``_component`` (the smallest doc_id reachable over links of at most ``budget`` bits) and boolean ``_kept``.
+def group_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, budget: int | None = None) -> DataFrame:
+    """``docs`` with long ``_fp``, ``_component`` (the smallest doc_id reachable over links) and boolean ``_kept``.
+
+    Links join texts whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more
+    (exact, ``similar_classes``); ``_fp`` is a key of the set. With ``budget``, ``_fp`` is the fingerprint over
+    ``width``-word shingles, links join fingerprints within that many bits, and ``similarity`` is not used.
 
-    Equal fingerprints collapse (map-side combined) before the join, so copies cost one value however many
-    there are. Every document's whole text is hashed once, in Arrow batches. Exactly one row of each class has
+    Equal ``_fp`` collapse (map-side combined) before the join, so copies cost one value however many
+    there are. Every document's whole text is hashed in Arrow batches. Exactly one row of each class has
     ``_kept``: one with the smallest id.
 
-    Nulls: null and empty texts, or texts of blanks, have fingerprint zero and link like any other. A null
-    id counts for no minimum; a class without ids has a null component. Repeated rows share their class. An
-    empty table gives no rows. Columns ``_fp``, ``_component``, ``_kept`` and ``_sh_row`` of the input are replaced.
+    Nulls: null and empty texts, or texts of blanks, have ``_fp`` zero; they link like any other fingerprint,
+    and as sets to one another only. A null id counts for no minimum; a class without ids has a null component.
+    Repeated rows share their class. An empty table gives no rows. Columns ``_fp``, ``_component``, ``_kept``
+    and ``_sh_row`` of the input are replaced.
     """
     own = [c for c in docs.columns if c not in ("_fp", "_component", "_kept", "_sh_row")]
-    hashed = docs.select(*own, fingerprint_udf(F.col("text")).alias("_fp"), F.monotonically_increasing_id().alias("_sh_row"))
-    if set(own) <= {"doc_id", "text"}:
+    mark = set_key_udf(width) if budget is None else fingerprint_udf(width)
+    hashed = docs.select(*own, mark(F.col("text")).alias("_fp"), F.monotonically_increasing_id().alias("_sh_row"))
+    if budget is not None and set(own) <= {"doc_id", "text"}:
         hashed = hashed.drop("text")
     marked = park(hashed, "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_sh_row").alias("row")))
     values = park(marked.groupBy(F.col("_fp").alias("fp")).agg(first.alias("least")), "values")
-    roots = components(link_values(values.select("fp"), budget))
+    if budget is None:
+        roots = similar_classes(marked.select(F.col("_fp").alias("key"), "text"), width, similarity, components)
+    else:
+        roots = components(link_values(values.select("fp"), budget))
     classes = values.join(roots, values.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = classes.groupBy("root").agg(F.min("least").alias("least"))
     lookup = park(classes.select("fp", "root").join(smallest, "root").select(F.col("fp").alias("_fp"), F.col("least.id").alias("_component"), F.col("least.row").alias("_first")), "classes")
-    return marked.join(lookup, "_fp", "left").select(*[c for c in marked.columns if c != "_sh_row"], "_component", (F.col("_sh_row") == F.col("_first")).alias("_kept"))
+    kept = [c for c in marked.columns if c != "_sh_row"]
+    return marked.join(lookup, "_fp", "left").select(*kept, "_component", (F.col("_sh_row") == F.col("_first")).alias("_kept"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = group_near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    grouped = group_near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, budget=4)
     return grouped.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), F.col("_component").alias("component_id"))

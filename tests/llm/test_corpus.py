@@ -382,3 +382,41 @@ def test_ranges_follow_on(spark, texts):
     order = [sorted(by[k]) for k in sorted(by)]
     assert [d for g in order for e, _, d in g if not e] == sorted(texts)
     assert all([d for e, _, d in g if e] == [order[(k + 1) % len(order)][0][2]] for k, g in enumerate(order))
+
+
+def shingles5(text):
+    w = (text or "").lower().split()
+    return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def test_similar_texts_by_brute_force(spark):
+    """Copies with a few edits: classes of the default are those of all pairs with a Jaccard similarity of 0.8 or more over five words."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(3000)])
+    rows = [" ".join(["shared line of seven words in all", *rng.choice(vocabulary, 40)]) for _ in range(60)]
+    for n, edits in ((60, 1), (60, 2), (200, 4), (200, 6), (400, 10), (400, 14)):
+        for _ in range(4):
+            base = rng.choice(vocabulary, n)
+            rows.append(" ".join(base))
+            for _ in range(6):
+                w = base.copy()
+                w[rng.choice(n, edits, replace=False)] = rng.choice(vocabulary, edits)
+                rows.append(" ".join(w))
+    rows += ["", "  ", "one two", "One  two", "a b c d e", "a b c d e f"]
+    sets = [shingles5(t) for t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (not a and not sets[j]) or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]) > 0:
+                i1, j1 = find(i), find(j)
+                root[max(i1, j1)] = min(i1, j1)
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r._component for r in simhash.group_near_duplicates(frame).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert len(set(got.values())) < len(rows) - 50  # near copies have met
