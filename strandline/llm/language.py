@@ -21,13 +21,13 @@ SCALE = 3.0  # nats a character added while summing, so that usual words stay in
 LONGEST = 64  # longer words are summed in logarithms
 
 
-def read_pieces(path: str, longest: int) -> list[str]:
-    """The vocabulary's pieces of letters, with or without the start mark, of at most ``longest`` characters."""
+def read_pieces(path: str) -> list[str]:
+    """The vocabulary's pieces of letters, of any length, with or without the start mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    return sorted(p for p in found if len(p) <= longest and (WORD.fullmatch(p.removeprefix(START)) or p == START))
+    return sorted(p for p in found if WORD.fullmatch(p.removeprefix(START)) or p == START)
 
 
 class Segmenter:
@@ -144,7 +144,7 @@ def _probabilities(counts: np.ndarray, smoothing: float = 0.1) -> np.ndarray:
     return np.vstack([probs, np.full(counts.shape[1], 1e-9)])
 
 
-def learn(rows: DataFrame, vocabulary: str = VOCABULARY, sample: int = 1500, rounds: int = 2, longest: int = 5) -> tuple[list[str], list[str], np.ndarray]:
+def learn(rows: DataFrame, vocabulary: str = VOCABULARY, sample: int = 1500, rounds: int = 2) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, pieces, probabilities) from ``rows`` (text, lang), by expectation-maximisation from uniform pieces.
 
     Bounded: about ``sample`` rows of each language, picked by a hash of the text. Word counts and expected
@@ -152,7 +152,7 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY, sample: int = 1500, rou
     """
     rows = rows.where("lang is not null and text is not null")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
-    langs, pieces = sorted(sizes), read_pieces(vocabulary, longest)
+    langs, pieces = sorted(sizes), read_pieces(vocabulary)
     if not langs:
         return langs, pieces, np.zeros((len(pieces) + 1, 0))
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int(1e6 * min(1.0, sample / sizes[lang])))])

@@ -420,3 +420,14 @@ def test_similar_texts_by_brute_force(spark):
     got = {r.doc_id: r._component for r in simhash.group_near_duplicates(frame).collect()}
     assert got == {i: find(i) for i in range(len(rows))}
     assert len(set(got.values())) < len(rows) - 50  # near copies have met
+
+
+def test_all_letter_pieces_are_learned(none):
+    """Also pieces of over five characters, the start mark included."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=language.VOCABULARY)
+    usable = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    letters = {p for p in (model.id_to_piece(i).lower() for i in usable) if p == "\u2581" or re.fullmatch(r"\u2581?[^\W\d_]+", p)}
+    assert max(map(len, letters)) > 5
+    assert set(language.learn(none.select("text", "lang"))[1]) == letters
