@@ -22,7 +22,7 @@ class Blocks:
     that reads the buckets in place: the text is shuffled only while it is written.
     """
 
-    def __init__(self, docs: DataFrame, block_bytes: int = 8 << 20, least: int = 1):
+    def __init__(self, docs: DataFrame, block_bytes: int = 2 << 20, least: int = 1):
         spark = docs.sparkSession
         self.spark = spark
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -38,9 +38,12 @@ class Blocks:
         return self.spark.table(self.name)
 
     @property
-    def parts(self) -> int:
-        """How many key ranges to deal n-grams of all blocks into: a power of two near the number of blocks."""
-        return 1 << min(max(3, (self.count - 1).bit_length()), 16)
+    def bits(self) -> int:
+        """Leading bits of a key that name its range: ranges grow in number with the blocks, a quarter as many, so none grows with the corpus.
+
+        A block sends a row per range that it has keys in: never more rows than keys, however many ranges there are.
+        """
+        return max(3, (self.count - 1).bit_length() - 2)
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -59,6 +62,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))  # a random number for each byte
 
 
+def runs(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(range, start, end) of each stretch of the sorted keys that share their leading ``bits``; ranges without keys are left out."""
+    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    start = np.flatnonzero(np.diff(part, prepend=-1))
+    return [] if not len(keys) else list(zip(part[start].tolist(), start.tolist(), np.append(start[1:], len(keys)).tolist(), strict=True))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base), np.uint64)
     out[:1] = 1
