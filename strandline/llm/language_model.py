@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.blocks import START_TOKEN, Blocks, mixed, packed, tokens, unpacked
+from strandline.llm.blocks import START_TOKEN, Blocks, mixed, packed, runs, tokens, unpacked
 from strandline.llm.common import fold, new_folder, park, remove_folder, table
 
 BUCKETS = 24  # context-frequency buckets: powers of two
@@ -28,26 +28,19 @@ def _counted(keys: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return distinct, place, np.bincount(place[learn], minlength=len(distinct))
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted keys pass from one key range to the next; ranges are equal shares of all 64-bit values."""
-    edges = np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - (parts.bit_length() - 1))
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-
-def _ship(parts: int):
+def _ship(bits: int):
     """Of a block: its distinct words (n 1) and word pairs (n 2) with its own counts, a packed row per key range."""
 
     def ship(block):
         import pyarrow as pa
 
         word, pair, _, sizes = _grams(block["text"].to_pylist())
-        learn = np.repeat(block["learn"].to_numpy(zero_copy_only=False), sizes)
+        learn, number = np.repeat(block["learn"].to_numpy(zero_copy_only=False), sizes), block["block"][0].as_py()
         rows = []
         for n, keys in ((1, word), (2, pair)):
             distinct, _, own = _counted(keys, learn)
-            cuts = _cuts(distinct, parts)
-            rows += [(n, part, block["block"][0].as_py(), packed(distinct[a:b], ascending=True), packed(own[a:b])) for part, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            rows += [(n, part, number, packed(distinct[a:b], ascending=True), packed(own[a:b])) for part, a, b in runs(distinct, bits)]
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         cols = zip(*rows, strict=True) if rows else [[]] * 5
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names=["n", "part", "block", "keys", "own"])
 
@@ -62,53 +55,56 @@ def _sum_up(part):
     blocks = part["block"].to_pylist()
     keys = [unpacked(x.as_py(), ascending=True) for x in part["keys"]]
     own = np.concatenate([unpacked(x.as_py()) for x in part["own"]]).astype(np.int64)
-    sizes = np.array([len(k) for k in keys])
+    sizes = [len(k) for k in keys]
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    del keys
     total = np.bincount(place, own, len(distinct)).astype(np.int64)
     every = total[place]
     rows, at = [], 0
-    for block, size in zip(blocks, sizes.tolist(), strict=True):
+    for block, size in zip(blocks, sizes, strict=True):
         here = np.flatnonzero(every[at : at + size] != own[at : at + size])
         if len(here):
             rows.append((n, number, block, packed(here, ascending=True), packed(every[at : at + size][here]), 0, 0))
         at += size
     rows.append((n, number, -1, b"", b"", int(total.sum()), int((total > 0).sum())))
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
     return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["n", "part", "block", "at", "total", "tokens", "types"])
 
 
-REPLY = "n int, part int, block int, at binary, total binary, tokens long, types long"
+REPLY = "n int, part long, block int, at binary, total binary, tokens long, types long"
 
 
 class _Counts:
-    """A block's tokens with counts over all documents and over all other blocks."""
+    """A block's tokens with counts over all documents and, where held out, over all other blocks."""
 
-    def __init__(self, block, replies, parts: int, starts: int):
+    def __init__(self, block, replies, bits: int, starts: int, held_out: bool):
         word, pair, before, self.sizes = _grams(block["text"].to_pylist())
-        self.learn_docs = block["learn"].to_numpy(zero_copy_only=False)
-        self.learn = np.repeat(self.learn_docs, self.sizes)
+        learn_docs = block["learn"].to_numpy(zero_copy_only=False)
+        self.learn = np.repeat(learn_docs, self.sizes)
         by: dict[tuple[int, int], tuple[bytes, bytes]] = {}
         for n, part, at, total in zip(*(replies[c].to_pylist() for c in ("n", "part", "at", "total")), strict=True):
             by[n, part] = (at, total)
-        self.word, self.word_rest, words, totals, own = self._look_up(1, word, by, parts)
-        self.pair, self.pair_rest, *_ = self._look_up(2, pair, by, parts)
+        first = before == START_TOKEN
+        words, place, counts = self._look_up(1, word, by, bits, held_out)
+        self.word = counts[place]
         # the word before is the text's start or a word of this block
-        start = before == START_TOKEN
         place = np.minimum(np.searchsorted(words, before), max(len(words) - 1, 0))
-        own_starts = int(self.learn_docs.sum())
-        self.context = np.where(start, starts, totals[place] if len(words) else 0)
-        self.context_rest = np.where(start, starts - own_starts, (totals - own)[place] if len(words) else 0)
+        starts -= int(learn_docs.sum()) if held_out else 0
+        self.context = np.where(first, starts, counts[place] if len(words) else 0)
+        del word, before, words, place
+        _, place, counts = self._look_up(2, pair, by, bits, held_out)
+        self.pair = counts[place]
         self.own_tokens = int(self.learn.sum())
 
-    def _look_up(self, n: int, keys: np.ndarray, by: dict, parts: int):
+    def _look_up(self, n: int, keys: np.ndarray, by: dict, bits: int, held_out: bool):
+        """(distinct keys, place of each key among them, counts: of all documents or, ``held_out``, of all other blocks)."""
         distinct, place, own = _counted(keys, self.learn)
         total = own.astype(np.int64)
-        cuts = _cuts(distinct, parts)
-        for part in range(parts):
+        for part, a, _ in runs(distinct, bits):
             if (n, part) in by:
                 at, values = by[n, part]
-                total[cuts[part] + unpacked(at, ascending=True).astype(np.int64)] = unpacked(values).astype(np.int64)
-        return total[place], (total - own)[place], distinct, total, own
+                total[a + unpacked(at, ascending=True).astype(np.int64)] = unpacked(values).astype(np.int64)
+        return distinct, place, total - own if held_out else total
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -138,7 +134,7 @@ def learn_weights(cells: list[tuple[int, int, int, int]], unseen: float, rounds:
     return out / out.sum(axis=1, keepdims=True)
 
 
-def score_documents(docs: DataFrame, learn: F.Column, block_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, learn: F.Column, block_bytes: int = 2 << 20) -> DataFrame:
     """``docs`` (doc_id, text) with n_tokens, n_known, train_tokens, base_score and score; learned from rows where ``learn`` holds.
 
     score: log10 of the product over tokens of a*c(v,w)/c(v) + b*c(w)/N + c/(V+1), v the word before, with
@@ -151,12 +147,13 @@ def score_documents(docs: DataFrame, learn: F.Column, block_bytes: int = 8 << 20
     The tables of counts grow with the corpus and stay on the executors.
 
     Nulls: a null text is an empty one, whose only token is its end. Rows without an id are not learned from.
-    Repeated rows score alike. An empty table gives no rows; with nothing to learn from, N and V are 0.
+    Repeated rows score alike. An empty table gives no rows; with nothing to learn from, N and V are 0. Other
+    columns of ``docs``, whatever their names, are not returned.
     """
     spark = docs.sparkSession
     blocks = Blocks(docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn")), block_bytes, LEAST_BLOCKS)
-    parts = blocks.parts
-    shipped = blocks.table.groupBy("block").applyInArrow(_ship(parts), "n int, part int, block int, keys binary, own binary")
+    bits = blocks.bits
+    shipped = blocks.table.groupBy("block").applyInArrow(_ship(bits), "n int, part long, block int, keys binary, own binary")
     folder = new_folder(spark, "replies")
     shipped.groupBy("n", "part").applyInArrow(_sum_up, REPLY).write.parquet(folder)
     replies = spark.read.schema(REPLY).parquet(folder)
@@ -169,13 +166,13 @@ def score_documents(docs: DataFrame, learn: F.Column, block_bytes: int = 8 << 20
     def held_out(block, replies):
         import pyarrow as pa
 
-        c = _Counts(block, replies, parts, starts)
+        c = _Counts(block, replies, bits, starts, True)
         rest = max(n_tokens - c.own_tokens, 1)
         with np.errstate(divide="ignore", invalid="ignore"):
             log = lambda p: np.where(p > 0, np.rint(16 * np.log10(np.where(p > 0, p, 1))), 1)
-            q2 = log(np.where(c.context_rest > 0, c.pair_rest / np.maximum(c.context_rest, 1), 0.0))
-            q1 = log(c.word_rest / rest)
-        cells = np.stack([_bucket(c.context_rest), q2, q1], axis=1)[c.learn].astype(np.int64)
+            q2 = log(np.where(c.context > 0, c.pair / np.maximum(c.context, 1), 0.0))
+            q1 = log(c.word / rest)
+        cells = np.stack([_bucket(c.context), q2, q1], axis=1)[c.learn].astype(np.int64)
         packed = (cells[:, 0] << 40) + ((cells[:, 1] + 1000) << 20) + cells[:, 2] + 1000
         cell, n = np.unique(packed, return_counts=True)
         return pa.table([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
@@ -187,7 +184,7 @@ def score_documents(docs: DataFrame, learn: F.Column, block_bytes: int = 8 << 20
     def score(block, replies):
         import pyarrow as pa
 
-        c = _Counts(block, replies, parts, starts)
+        c = _Counts(block, replies, bits, starts, False)
         doc = np.repeat(np.arange(len(c.sizes)), c.sizes)
         per_doc = lambda x: np.bincount(doc, x, len(c.sizes))
         base = np.log10((c.word + 0.5) / (n_tokens + 0.5 * (n_types + 1)))
