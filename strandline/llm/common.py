@@ -16,11 +16,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where nothing is configured (tests in local mode) a folder of this machine is made and set.
+    Only where nothing is configured and everything runs on this machine (local mode, as in tests) a folder is
+    made and set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -47,6 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def other_columns(df: DataFrame, *names: str, prefix: str = "") -> list[str]:
+    """The columns of ``df`` but those an operator adds or uses: ``names``, and all that begin with ``prefix``. Case doesn't matter, as in Spark."""
+    taken = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in taken and not (prefix and c.lower().startswith(prefix))]
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; rows without an id have fold -1 (never learned from)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % n, F.lit(-1))

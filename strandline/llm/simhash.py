@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import park, table
+from strandline.llm.common import new_folder, other_columns, park, remove_folder, table
 from strandline.llm.similar import set_key_udf, similar_classes
 
 BITS = 64
@@ -44,17 +42,9 @@ def fingerprint_udf(width: int):
     return fingerprints
 
 
-def exact_parts(n: int, budget: int = 4) -> list[int]:
-    """Masks of bits that must agree: 64 bits in m parts, all but ``budget`` of them; two values within the budget agree under one mask at least.
-
-    m is the least for which the agreeing bits address about n values, so groups stay small as the corpus grows.
-    """
-    for m in range(budget + 1, budget + 5):
-        if (BITS * (m - budget)) // m >= np.log2(max(n, 2)) - 1:
-            break
-    edges = [round(i * BITS / m) for i in range(m + 1)]
-    parts = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(kept) for kept in combinations(parts, m - budget)]
+def part_edges(budget: int) -> list[int]:
+    """Edges of budget + 1 parts of the bits: two values within the budget agree in one part at least."""
+    return [round(i * BITS / (budget + 1)) for i in range(budget + 2)]
 
 
 def merged(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -71,152 +61,222 @@ def merged(labels: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return labels
 
 
-def trie_join(a: np.ndarray, b: np.ndarray | None, budget: int = 4, leaf: int = 1 << 14) -> np.ndarray:
-    """Classes among the sorted distinct values ``a`` (then ``b``) under links within the budget.
+class TrieJoin:
+    """Classes under links within the budget among values of binary tries, by walking pairs of their nodes together.
 
-    Walks pairs of trie nodes (ranges of a sorted array that share their high bits) from the root, adds the
-    bit in which the two nodes differ, and drops a pair once the budget is spent. Small pairs are compared directly.
-    With ``b``, only pairs across the two arrays are sought.
+    ``values`` holds the leaves of one or more tries, those of a trie in ascending order one after another; a node
+    is a range of them that share their leading bits. A pair of nodes has used up as many bits of the budget as
+    their paths differ in. Each step goes down one bit on both sides, adds the bit where the sides part, and drops
+    the pair once the budget is spent, or when all its values are of one class already. Many pairs step at once:
+    the walk takes ``wave`` pairs of one depth at a time, the deepest first. Pairs of up to ``leaf`` combinations
+    are compared directly. ``walked`` counts node pairs taken apart, ``pruned`` those that ran out of budget.
     """
-    own = b is None
-    b = a if own else b
-    shift = 0 if own else len(a)
-    labels = np.arange(len(a) if own else len(a) + len(b))
-    pending: list[tuple[np.ndarray, np.ndarray]] = []
-    waiting = 0
-    stack = [(0, len(a), 0, len(b), BITS - 1, 0)]
-    while stack:
-        a0, a1, b0, b1, bit, spent = stack.pop()
-        if a0 == a1 or b0 == b1:
-            continue
-        if (a1 - a0) * (b1 - b0) <= leaf or bit < 0:
-            near = np.bitwise_count(a[a0:a1, None] ^ b[None, b0:b1]) <= budget
-            u, v = np.nonzero(near)
-            u, v = u + a0, v + b0 + shift
-            keep = u < v
-            pending.append((u[keep], v[keep]))
-            waiting += int(keep.sum())
-            if waiting > 1 << 20:
-                labels = merged(labels, np.concatenate([x for x, _ in pending]), np.concatenate([x for _, x in pending]))
-                pending, waiting = [], 0
-            continue
-        one = np.uint64(1 << bit)
-        am = a0 + int(np.searchsorted((a[a0:a1] >> np.uint64(bit)) & np.uint64(1), 1))
-        bm = b0 + int(np.searchsorted((b[b0:b1] >> np.uint64(bit)) & np.uint64(1), 1)) if not (own and (a0, a1) == (b0, b1)) else am
-        assert one
-        stack.append((a0, am, b0, bm, bit - 1, spent))
-        stack.append((am, a1, bm, b1, bit - 1, spent))
-        if spent < budget:
-            stack.append((a0, am, bm, b1, bit - 1, spent + 1))
-            if not (own and (a0, a1) == (b0, b1)):
-                stack.append((am, a1, b0, bm, bit - 1, spent + 1))
-    if pending:
-        labels = merged(labels, np.concatenate([x for x, _ in pending]), np.concatenate([x for _, x in pending]))
-    return labels
-
 
-def _links_of(nodes, budget: int, small: int = 48):
-    """Arrow batches sorted by (mask, part, i, j) to links (a, b): a spanning forest of each node pair's classes."""
+    def __init__(self, values: np.ndarray, budget: int, leaf: int = 32, wave: int = 1 << 16):
+        self.values, self.budget, self.leaf, self.wave = values, budget, leaf, wave
+        self.labels = np.arange(len(values))
+        self.walked = self.pruned = 0
+        self.ones: dict[int, np.ndarray] = {}
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def _ones(self, bit: int) -> np.ndarray:
+        """How many of the values before each place have the bit set."""
+        if bit not in self.ones:
+            set_here = ((self.values >> np.uint64(bit)) & np.uint64(1)).astype(np.int32)
+            self.ones[bit] = np.concatenate([[0], np.cumsum(set_here)]).astype(np.int32)
+        return self.ones[bit]
+
+    def _merge(self) -> None:
+        if self.held:
+            self.labels = merged(self.labels, *(np.concatenate([x[k] for x in self.held]) for k in (0, 1)))
+            self.held, self.waiting = [], 0
+
+    def _open(self, pairs: np.ndarray) -> np.ndarray:
+        """Without the pairs whose values are all of one class."""
+        self._merge()
+        breaks = np.concatenate([[0], np.cumsum(self.labels[1:] != self.labels[:-1])])
+        a0, a1, b0, b1, _ = pairs
+        done = (breaks[a1 - 1] == breaks[a0]) & (breaks[b1 - 1] == breaks[b0]) & (self.labels[a0] == self.labels[b0])
+        return pairs[:, ~done]
+
+    def _compare(self, pairs: np.ndarray) -> None:
+        a0, a1, b0, b1, _ = pairs
+        n = (a1 - a0) * (b1 - b0)
+        for at in range(0, len(n), 1 << 15):
+            some = slice(at, at + (1 << 15))
+            each = np.repeat(np.arange(len(n[some])), n[some])
+            nth, width = np.arange(len(each)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]), (b1 - b0)[some][each]
+            u, v = a0[some][each] + nth // width, b0[some][each] + nth % width
+            near = (u < v) & (np.bitwise_count(self.values[u] ^ self.values[v]) <= self.budget)
+            self.held.append((u[near], v[near]))
+            self.waiting += int(near.sum())
+            if self.waiting > 1 << 20:
+                self._merge()
+
+    def join(self, pairs: np.ndarray, bits: int) -> np.ndarray:
+        """Labels after walking from ``pairs``, rows (start, end, start, end, bits used) with ``bits`` bits below their nodes."""
+        stack = [(bits, pairs)]
+        while stack:
+            bits, pairs = stack.pop()
+            if pairs.shape[1] > self.wave:
+                stack += [(bits, pairs[:, : pairs.shape[1] // 2]), (bits, pairs[:, pairs.shape[1] // 2 :])]
+                continue
+            a0, a1, b0, b1, used = pairs
+            small = ((a1 - a0) * (b1 - b0) <= self.leaf) | (bits == 0)
+            self._compare(pairs[:, small & ((a0 != b0) | (a1 - a0 > 1))])
+            pairs = pairs[:, ~small]
+            if not pairs.shape[1]:
+                continue
+            pairs = self._open(pairs)
+            a0, a1, b0, b1, used = pairs
+            ones = self._ones(bits - 1)
+            am, bm, apart = a1 - (ones[a1] - ones[a0]), b1 - (ones[b1] - ones[b0]), a0 != b0
+            self.walked += len(a0)
+            self.pruned += int((used == self.budget).sum())
+            down = [(a0, am, b0, bm, used), (am, a1, bm, b1, used)]
+            down += [tuple(x[used < self.budget] for x in (a0, am, bm, b1, used + 1)), tuple(x[apart & (used < self.budget)] for x in (am, a1, b0, bm, used + 1))]
+            pairs = np.concatenate([np.stack(x) for x in down], axis=1)
+            pairs = pairs[:, (pairs[1] > pairs[0]) & (pairs[3] > pairs[2])]
+            if pairs.shape[1]:
+                stack.append((bits - 1, pairs))
+        self._merge()
+        return self.labels
+
+
+GROUP = ["part", "depth", "a", "b"]  # a pair of trie nodes: which rotation, bits on their paths, the two paths
+
+
+def _links_of(nodes, budget: int, held_values: int = 1 << 16):
+    """Arrow batches sorted by (GROUP, side, value) to links (a, b): a spanning forest of the classes of each node pair."""
     import pyarrow as pa
 
-    def links(t: dict[str, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        new = np.ones(len(t["fp"]), bool)
-        new[1:] = np.logical_or.reduce([t[k][1:] != t[k][:-1] for k in ("mask", "part", "i", "j")])
-        start = np.flatnonzero(new)
-        length = np.diff(np.append(start, len(new)))
-        found = []
-        tiny = (length >= 2) & (length <= small) & (t["i"][start] == t["j"][start])
-        at, left = start[tiny], length[tiny]
-        rest = [np.arange(s, s + n) for s, n in zip(at.tolist(), left.tolist(), strict=True)]
-        rows = np.concatenate(rest) if rest else np.zeros(0, np.int64)
-        end = np.repeat(at + left, left)
-        u, v = [], []
-        for gap in range(1, int(left.max(initial=1))):
-            ok = rows + gap < end
-            rows, end = rows[ok], end[ok]
-            near = np.bitwise_count(t["fp"][rows] ^ t["fp"][rows + gap]) <= budget
-            u.append(rows[near])
-            v.append(rows[near] + gap)
-        if u:
-            labels = merged(np.arange(len(new)), np.concatenate(u), np.concatenate(v))
-            linked = np.flatnonzero(labels != np.arange(len(new)))
-            found.append((t["fp"][linked], t["fp"][labels[linked]]))
-        for s, n in zip(start[(length >= 2) & ~tiny].tolist(), length[(length >= 2) & ~tiny].tolist(), strict=True):
-            own, side = t["fp"][s : s + n], t["side"][s : s + n]
-            a, b = np.sort(own[side == 0]), np.sort(own[side == 1])
-            labels = trie_join(a, None if t["i"][s] == t["j"][s] else b, budget)
-            values = a if t["i"][s] == t["j"][s] else np.concatenate([a, b])
-            linked = np.flatnonzero(labels != np.arange(len(labels)))
-            found.append((values[linked], values[labels[linked]]))
-        return found
-
-    held: list[dict[str, np.ndarray]] = []
+    edges = part_edges(budget)
 
     def emit(parts):
         t = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
-        for a, b in links(t):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        u, v = [], []
+        for depth in np.unique(t["depth"]):
+            own = {k: x[t["depth"] == depth] for k, x in t.items()}
+            new = np.ones(len(own["value"]) + 1, bool)  # where a group or its other side begins
+            new[1:-1] = np.logical_or.reduce([own[k][1:] != own[k][:-1] for k in (*GROUP, "side")])
+            edge = np.flatnonzero(new)
+            start, end = edge[:-1], edge[1:]
+            alone = own["a"][start] == own["b"][start]
+            left = np.flatnonzero(~alone & (own["side"][start] == 0))
+            left = left[left + 1 < len(start)]
+            left = left[np.logical_and.reduce([own[k][start[left]] == own[k][start[left + 1]] for k in GROUP])]  # the other side may be empty
+            used = np.bitwise_count(own["a"][start[left]] ^ own["b"][start[left]]).astype(np.int64)
+            pairs = np.concatenate([np.stack([start[alone], end[alone], start[alone], end[alone], np.zeros(alone.sum(), np.int64)]), np.stack([start[left], end[left], start[left + 1], end[left + 1], used])], axis=1)
+            values = own["value"].view(np.uint64)
+            labels = TrieJoin(values, budget).join(pairs, BITS - int(depth))
+            linked = np.flatnonzero(labels != np.arange(len(labels)))
+            back = np.array([BITS - e for e in edges[:-1]], np.uint64)[own["part"][linked]] & np.uint64(BITS - 1)  # turns a value back
+            turn = lambda x, back=back: (x << back) | (x >> ((np.uint64(BITS) - back) & np.uint64(BITS - 1)))
+            u.append(turn(values[linked]))
+            v.append(turn(values[labels[linked]]))
+        a, b = (np.concatenate(x).view(np.int64) for x in (u, v))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
     for batch in nodes:
-        t = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("mask", "part", "i", "j", "side", "fp")}
-        t["fp"] = t["fp"].view(np.uint64)
-        if not len(t["fp"]):
+        t = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in (*GROUP, "side", "value")}
+        if not len(t["value"]):
             continue
-        last = np.logical_and.reduce([t[k] == t[k][-1] for k in ("mask", "part", "i", "j")])
-        cut = int(np.argmax(last))
-        if cut == 0 and held and all(held[-1][k][-1] == t[k][0] for k in ("mask", "part", "i", "j")):
-            held.append(t)
+        held.append(t)
+        n += len(t["value"])
+        if n < held_values:
             continue
-        yield from emit([*held, {k: x[:cut] for k, x in t.items()}])
+        t = {k: np.concatenate([h[k] for h in held]) for k in t}
+        cut = int(np.argmax(np.logical_and.reduce([t[k] == t[k][-1] for k in GROUP])))  # the last group may go on
+        if cut:
+            yield from emit([{k: x[:cut] for k, x in t.items()}])
         held = [{k: x[cut:] for k, x in t.items()}]
+        n = n - cut if cut else n
     if held:
         yield from emit(held)
 
 
-def link_values(values: DataFrame, budget: int = 4, most: int = 20_000) -> DataFrame:
+def link_values(values: DataFrame, budget: int = 4, most: int = 50_000, step: int = 4) -> DataFrame:
     """Links (a, b) whose classes are those of all pairs of ``values.fp`` (distinct longs) within ``budget`` bits.
 
-    Each value goes to one trie node per mask of ``exact_parts``; only values in the same node can meet. A
-    node with over ``most`` values is split by its next eight free bits, and pairs of the split nodes within
-    the budget are joined as tasks of their own. Each node pair gives a spanning forest, not all pairs.
+    Every value is a leaf of ``budget`` + 1 tries, one per rotation that brings another part of the bits to the
+    front: values within the budget agree in one part, so in that trie they lie under one node at its depth.
+    These nodes, paired with themselves, are dealt to tasks, and ``TrieJoin`` walks the node pairs below them. A
+    pair of nodes with over ``most`` leaves is taken ``step`` bits further down before it is dealt, into the pairs
+    of its children that the budget allows, again and again until no pair is larger. Each node pair gives a
+    spanning forest of its classes, not all pairs.
     """
-    masks = exact_parts(values.count(), budget)
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    edges = part_edges(budget)
     fp = F.col("fp")
 
-    def child(mask: int):
-        free = [b for b in range(BITS - 1, -1, -1) if not mask >> b & 1][:8]
-        out = F.lit(0).cast("long")
-        for k, b in enumerate(free):
-            out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, b).bitwiseAND(F.lit(1).cast("long")), 7 - k))
-        return out.cast("int")
-
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("mask"), fp.bitwiseAND(F.lit(signed(m)).cast("long")).alias("part"), child(m).alias("child")) for k, m in enumerate(masks)]))
-    nodes = values.select("fp", each.alias("n")).select("fp", "n.*")
-    large = nodes.groupBy("mask", "part").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "part", F.lit(True).alias("large"))
-    children = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda x: x)
-    partners = F.filter(children, lambda x: F.bit_count(x.bitwiseXOR(F.col("child"))) <= budget)
-    sides = F.transform(partners, lambda x: F.struct(F.least(x, F.col("child")).alias("i"), F.greatest(x, F.col("child")).alias("j"), (F.col("child") > x).cast("int").alias("side")))
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-    spread = nodes.join(large, ["mask", "part"], "left").withColumn("at", F.explode(F.when(F.col("large"), sides).otherwise(alone)))
-    keys = ["mask", "part", "i", "j"]
-    spread = spread.select("mask", "part", "at.i", "at.j", "at.side", "fp").repartition(*keys).sortWithinPartitions(*keys)
-    return spread.mapInArrow(lambda batches: _links_of(batches, budget), "a long, b long")
+    def trie(k: int):
+        at, width = edges[k], edges[k + 1] - edges[k]
+        turned = F.shiftleft(fp, at).bitwiseOR(F.shiftrightunsigned(fp, BITS - at)) if at else fp
+        path = F.shiftrightunsigned(turned, BITS - width)
+        return F.struct(F.lit(k).alias("part"), F.lit(width).alias("depth"), path.alias("a"), path.alias("b"), F.lit(0).alias("side"), turned.alias("value"))
+
+    nodes = values.select(F.explode(F.array(*[trie(k) for k in range(budget + 1)])).alias("n")).select("n.*")
+    settled = []
+    while True:
+        large = nodes.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") > most).where(F.col("depth") <= BITS - step).drop("n")
+        large = park(large, "large-nodes")
+        if large.isEmpty():
+            break
+        nodes = park(nodes, "nodes")
+        settled.append(nodes.join(large, GROUP, "left_anti"))
+        own = F.shiftrightunsigned("value", F.lit(BITS - step) - F.col("depth")).bitwiseAND(F.lit((1 << step) - 1).cast("long"))
+        below = nodes.join(large, GROUP, "left_semi").withColumn("own", own)
+        other = F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a"))
+        mine = F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b"))
+        path = lambda node, child: F.shiftleft(node, step).bitwiseOR(child)
+        partners = F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << step) - 1).cast("long")), lambda x: F.struct(path(mine, F.col("own")).alias("mine"), path(other, x).alias("other")))
+        partners = F.filter(partners, lambda x: F.bit_count(x["mine"].bitwiseXOR(x["other"])) <= budget)
+        below = below.withColumn("to", F.explode(partners))
+        twin = F.col("a") == F.col("b")  # the children of one node: their pairs have the lesser path first
+        side = F.when(twin, (F.col("to.mine") > F.col("to.other")).cast("int")).otherwise(F.col("side"))
+        below = below.withColumn("_side", side)
+        first, second = F.when(F.col("_side") == 0, F.col("to.mine")).otherwise(F.col("to.other")), F.when(F.col("_side") == 0, F.col("to.other")).otherwise(F.col("to.mine"))
+        nodes = below.select("part", (F.col("depth") + step).alias("depth"), first.alias("a"), second.alias("b"), F.col("_side").alias("side"), "value")
+    for part in settled:
+        nodes = nodes.union(part)
+    dealt = nodes.repartition(*GROUP).sortWithinPartitions(*GROUP, "side", "value")
+    return dealt.mapInArrow(lambda batches: _links_of(batches, budget), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``links`` (a, b), root the least node of its class: alternating large and small stars."""
-    edges = park(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    """(node, root) for every node of ``links`` (a, b), root the least node of its class: alternating large and small stars.
+
+    The least neighbour of each node is written before it meets the edges, so both sides of that join are plain
+    shuffles, which adaptive execution can split where one node has very many edges. A round's tables are
+    removed once the next round is written.
+    """
+    spark = links.sparkSession
+    old: list[str] = []
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        path = new_folder(spark, tag)
+        old.append(path)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def met(edges: DataFrame, low: DataFrame) -> DataFrame:
+        return edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     seen = None
     while True:
+        done = list(old)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = park(large, "large")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = park(small, "small")
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = kept(met(both.where("v > u"), least).where("u <> v").distinct(), "large")
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        edges = kept(met(large, low).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        for path in done:
+            remove_folder(spark, path)
+        del old[: len(done)]
         if state == seen:
             break
         seen = state
@@ -237,10 +297,10 @@ def group_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0
 
     Nulls: null and empty texts, or texts of blanks, have ``_fp`` zero; they link like any other fingerprint,
     and as sets to one another only. A null id counts for no minimum; a class without ids has a null component.
-    Repeated rows share their class. An empty table gives no rows. Columns ``_fp``, ``_component``, ``_kept``
-    and ``_sh_row`` of the input are replaced.
+    Repeated rows share their class. An empty table gives no rows. Columns ``_fp``, ``_component``, ``_kept``,
+    ``_first`` and ``_sh_row`` of the input, in any case, are replaced.
     """
-    own = [c for c in docs.columns if c not in ("_fp", "_component", "_kept", "_sh_row")]
+    own = other_columns(docs, "_fp", "_component", "_kept", "_first", "_sh_row")
     mark = set_key_udf(width) if budget is None else fingerprint_udf(width)
     hashed = docs.select(*own, mark(F.col("text")).alias("_fp"), F.monotonically_increasing_id().alias("_sh_row"))
     if budget is not None and set(own) <= {"doc_id", "text"}:
