@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import table
+from strandline.llm.common import other_columns, table
 
 SEED = 20240117
 
@@ -30,7 +30,7 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 40, bucket_bytes: int = 16 << 20, seed: int = SEED) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 40, bucket_bytes: int = 4 << 20, seed: int = SEED) -> DataFrame:
     """``docs`` with int ``shard``, long ``slot`` (gapless from 0 in its shard) and int ``grown_shard``, under the law ``key``.
 
     First pass: the shard follows from doc_id and the shard count alone; inside it a seeded hash of id and
@@ -41,10 +41,10 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, bucket_bytes: int = 1
     same exchange by a cogroup.
 
     Nulls: a null text counts as empty; rows with a null id share one shard but spread over its buckets.
-    Repeated rows get different slots. An empty table gives no rows. Columns named shard, slot, grown_shard
-    or ``_sh_*`` of the input are replaced.
+    Repeated rows get different slots; rows equal in every column share a bucket. An empty table gives no rows.
+    Columns named shard, slot, grown_shard or ``_sh_*`` of the input, in any case, are replaced.
     """
-    own = [c for c in docs.columns if c not in ("shard", "slot", "grown_shard") and not c.startswith("_sh_")]
+    own = other_columns(docs, "shard", "slot", "grown_shard", prefix="_sh_")
     spark = docs.sparkSession
     placed = docs.select(*own, shard_of(F.col("doc_id"), shards, seed).alias("shard"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("_sh_mix"))
     heaviest = placed.groupBy("shard").agg(F.sum(row_size()).alias("b")).agg(F.max("b")).first()[0] or 0
@@ -64,8 +64,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, bucket_bytes: int = 1
         n = left.num_rows
         if n:
             shard, bucket = left["shard"][0].as_py(), left["_sh_bucket"][0].as_py()
-            left = left.take(np.argsort(left["_sh_row"].to_numpy(), kind="stable"))
-            left = left.take(fisher_yates(n, np.random.default_rng([seed, shard, bucket])))
+            order = np.argsort(left["_sh_row"].to_numpy(), kind="stable")
+            left = left.drop(["_sh_bucket", "_sh_row"]).take(order[fisher_yates(n, np.random.default_rng([seed, shard, bucket]))])
         offset = right["offset"][0].as_py() if right.num_rows else 0
         slot = pa.array(np.arange(n, dtype=np.int64) + offset)
         return pa.table([*[left[c] for c in own], left["shard"], slot, left["grown_shard"]], names=[*own, "shard", "slot", "grown_shard"])
