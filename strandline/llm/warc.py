@@ -285,7 +285,9 @@ def read_archives(packages: DataFrame, range_bytes: int = 4 << 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
 
     ranges = packages.select("path").mapInArrow(locate, "path string, starts array<long>")
-    return ranges.repartition("path", "starts").mapInArrow(fetch, kind)
+    # rows of offsets are so small that adaptive execution would join them into one task: the number of tasks follows the bytes to be read
+    tasks = min(max(1, -(-(packages.agg(F.sum("bytes")).first()[0] or 0) // range_bytes)), 50_000)
+    return ranges.repartition(tasks, "path", "starts").mapInArrow(fetch, kind)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
