@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LOWER, UPPER, park, table
+from strandline.llm.common import LOWER, UPPER, other_columns, park, table
 
 #: What stands between words, once A-Z became a-z, and before. A word: letters, digits and all characters beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -89,14 +89,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     and a hash of their text.
 
     Nulls: a null text has no words; a null item_id counts as no item but its windows do. Repeated rows get
-    equal results. Empty tables are fine on either side. A column ``_hit`` of the input is replaced.
+    equal results. Empty tables are fine on either side. Columns ``_hit`` and ``_hit_*`` of the input, in any case, are replaced.
     """
-    own = [c for c in docs.columns if c != "_hit"]
+    own = other_columns(docs, "_hit", prefix="_hit_")
     items = benchmark.select(F.col("item_id"), F.col("text")).where("text is not null")
     lengths = items.select(F.size(words_between(F.col("text"), GAP_ANY_CASE)).alias("n")).where((F.col("n") > 0) & (F.col("n") < span)).distinct()
     short = sorted(r.n for r in lengths.collect())  # at most span - 1 values
     known = _with_context(_anchors(items, ["item_id"], span, k, short, items=True), span, k).where(_kept(span, k))
-    known = park(known.select("item_id", F.col("size").alias("i_size"), F.col("f").alias("i_f"), F.col("lead").alias("i_lead"), F.col("around").alias("i_around")), "winnowed")
+    # a line that many items share meets a document's once, with all their ids
+    known = known.groupBy(F.col("size").alias("i_size"), F.col("f").alias("i_f"), F.col("lead").alias("i_lead"), F.col("around").alias("i_around")).agg(F.collect_set("item_id").alias("ids"))
+    known = park(known, "winnowed")
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_th")).where("text is not null")
     same_gram = (F.col("f") == F.col("i_f")) & (F.col("size") == F.col("i_size"))
     if known.count() <= broadcast_rows:
@@ -116,28 +118,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
 
     backs = F.when(F.col("size") == span, F.sequence(F.lit(0), F.lit(span - k))).otherwise(F.array(F.lit(0)))
     inside = F.filter(F.filter(backs, lambda b: (b <= F.col("lead")) & (b <= F.col("i_lead"))), same)
-    windows = met.select("doc_id", "_th", "item_id", "size", "at", F.explode(inside).alias("back")).withColumn("at", F.col("at") - F.col("back"))
-    spans = windows.groupBy("doc_id", "_th", "at").agg(F.max("size").alias("size"), F.collect_set("item_id").alias("some"))
+    windows = met.select("doc_id", "_th", "ids", "size", "at", F.explode(inside).alias("back")).withColumn("at", F.col("at") - F.col("back"))
+    spans = windows.groupBy("doc_id", "_th", "at").agg(F.max("size").alias("size"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("some"))
 
     def covered(starts: Column) -> Column:
         step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["at"] + x["size"] - F.greatest(acc["end"], x["at"]))).alias("n"), F.greatest(acc["end"], x["at"] + x["size"]).alias("end"))
         return F.aggregate(F.array_sort(starts), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
 
     hits = spans.groupBy("doc_id", "_th").agg(covered(F.collect_list(F.struct("at", "size"))).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("some"))).alias("items"))
-    hits = park(hits.select(F.col("doc_id").alias("_h_id"), F.col("_th").alias("_h_th"), "n_hit", "items"), "hits")
+    hits = park(hits.select(F.col("doc_id").alias("_hit_id"), F.col("_th").alias("_hit_th"), F.col("n_hit").alias("_hit_n"), F.col("items").alias("_hit_items")), "hits")
     n_words = F.coalesce(F.size(words_between(F.col("text"), GAP_ANY_CASE)), F.lit(0)).cast("long")
     n_words = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_words)
-    counted = docs.select(*own, F.struct(n_words.alias("n_words"), F.xxhash64("text").alias("th")).alias("_c"))
-    joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("_h_id")) & (F.col("_c.th") == F.col("_h_th")), "left")
-    found = F.transform(F.coalesce("items", F.array()), lambda x: x.cast("string"))
+    counted = docs.select(*own, F.struct(n_words.alias("n_words"), F.xxhash64("text").alias("th")).alias("_hit_c"))
+    joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hit_c.th") == F.col("_hit_th")), "left")
+    found = F.transform(F.coalesce("_hit_items", F.array()), lambda x: x.cast("string"))
     return joined.select(
         *own,
         F.struct(
-            F.col("_c.n_words").alias("n_words"),
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.col("_hit_c.n_words").alias("n_words"),
+            F.coalesce("_hit_n", F.lit(0)).cast("long").alias("n_hit"),
             F.size(found).cast("long").alias("n_items"),
             F.array_sort(found).alias("items"),
-            (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+            (F.coalesce("_hit_n", F.lit(0)) > 0).alias("contaminated"),
         ).alias("_hit"),
     )
 
