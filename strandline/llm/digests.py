@@ -96,7 +96,11 @@ def as_text(filters: np.ndarray, data: bytes) -> str:
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: over the filters of the shorter chain, the best overlap with any of the longer, beyond what chance gives, by set bits."""
+    """0 to 1: over the filters of the shorter chain, the best overlap with any of the longer, beyond what chance gives, by set bits.
+
+    Chance: common bits of unrelated filters with as many bits set, and four standard deviations more. Sparse
+    filters, those of short texts, meet by chance hardly ever, so that few common features already count.
+    """
     n, m = int(a.partition(":")[0]), int(b.partition(":")[0])
     if not n or not m:
         return float(a == b)
@@ -110,7 +114,8 @@ def likeness(a: str, b: str) -> float:
     for at in range(0, len(y), 256):
         both, low = x @ y[at : at + 256].T, np.minimum(nx[:, None], ny[None, at : at + 256])
         chance = nx[:, None] * ny[None, at : at + 256] / (8 * FILTER_BYTES)
-        cut = chance + 0.3 * (low - chance)
+        free = (1 - nx[:, None] / (8 * FILTER_BYTES)) * (1 - ny[None, at : at + 256] / (8 * FILTER_BYTES))
+        cut = chance + 4 * np.sqrt(chance * free)
         score = np.where(low > cut, np.clip((both - cut) / np.maximum(low - cut, 1e-9), 0, 1), 0)
         best = np.maximum(best, score.max(axis=1))
     return float(np.average(best, weights=nx))
@@ -121,16 +126,16 @@ def digest(text: str) -> str:
     return as_text(filters_of(_feature_hashes(data, features(data))), data)
 
 
-def followed(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
+def followed(docs: DataFrame, rows_per_range: int = 4000, most_ranges: int = 8192) -> DataFrame:
     """``docs`` (doc_id, text) dealt into ranges of ascending (doc_id, text hash), each with the row that follows it.
 
     Columns: range (int), extra (true for the row that belongs to the next range; the last range gets the
     first row of all), place (what to sort by), doc_id, text. Ends of ranges come from a range partitioning of
-    ids alone: one short value per range reaches the driver. The text is shuffled once.
+    ids alone: one short value per range reaches the driver, of ``most_ranges`` at most, as ranges are streamed and may be long. The text is shuffled once.
     """
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64("text").alias("h"))
     keyed = docs.select("doc_id", "text", place.alias("place"))
-    parts = max(1, -(-docs.count() // rows_per_range))
+    parts = min(max(1, -(-docs.count() // rows_per_range)), most_ranges)
     narrow = keyed.select("place").repartitionByRange(parts, "place")
     starts = sorted(tuple(r.place) for r in narrow.groupBy(F.spark_partition_id().alias("p")).agg(F.min("place").alias("place")).collect())
     last = max(len(starts) - 1, 0)
@@ -165,7 +170,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Nulls: a null text counts as empty, rows without an id come first. Texts with no feature (under 64 bytes or
     of one byte over and over) are compared as a whole. Repeated rows follow one another and have equal
-    digests. A single row follows itself; an empty table gives no rows.
+    digests. A single row follows itself; an empty table gives no rows. doc_id must be an integer; other columns
+    of ``docs``, whatever their names, are neither read nor returned.
     """
     ordered = followed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).repartition("range").sortWithinPartitions("range", "extra", "place")
 
