@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import fold, park, table
+from strandline.llm.common import fold, other_columns, park, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"[^\W\d_]+")
@@ -147,7 +147,7 @@ def _probabilities(counts: np.ndarray, smoothing: float = 0.1) -> np.ndarray:
 def learn(rows: DataFrame, vocabulary: str = VOCABULARY, sample: int = 1500, rounds: int = 2) -> tuple[list[str], list[str], np.ndarray]:
     """(languages, pieces, probabilities) from ``rows`` (text, lang), by expectation-maximisation from uniform pieces.
 
-    Bounded: about ``sample`` rows of each language, picked by a hash of the text. Word counts and expected
+    Bounded: about ``sample`` rows of each language, picked by a hash of the text, copies of a text once. Word counts and expected
     piece counts are summed by Spark; the driver gets one number per piece and language.
     """
     rows = rows.where("lang is not null and text is not null")
@@ -166,15 +166,18 @@ def learn(rows: DataFrame, vocabulary: str = VOCABULARY, sample: int = 1500, rou
                     c.update(words_of(t))
                 yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
-    words = picked.select("lang", "text").mapInPandas(count, "lang string, word string, n long")
-    words = park(words.groupBy("word").pivot("lang", langs).agg(F.sum("n")).fillna(0).repartition(24), "words")
+    number = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])  # columns are named by numbers: a language may have any name
+    columns = [str(i) for i in range(len(langs))]
+    words = picked.select("lang", "text").dropDuplicates().mapInPandas(count, "lang string, word string, n long")
+    words = words.select("word", number[F.col("lang")].alias("k"), "n").groupBy("word").pivot("k", list(range(len(langs)))).agg(F.sum("n")).fillna(0)
+    words = park(words.repartition(24), "words")
     probs = _probabilities(np.ones((len(pieces), len(langs))))
     for _ in range(rounds):
 
         def expect(batches: Iterator[pd.DataFrame], probs=probs) -> Iterator[pd.DataFrame]:
             model, expected = Segmenter(pieces, probs), np.zeros((len(probs), len(langs)))
             for b in batches:
-                model.forward([START + w for w in b.word], b[langs].to_numpy(float), expected)
+                model.forward([START + w for w in b.word], b[columns].to_numpy(float), expected)
             piece, lang = np.nonzero(expected[:-1])
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": expected[piece, lang]})
 
@@ -220,7 +223,7 @@ def predict_language(docs: DataFrame, langs: list[str], pieces: list[str], probs
 
     A Python worker keeps the scores of up to ``most_words`` words; others are scored anew in each batch.
     Nulls, and texts without letters: ``und`` and score 0. Repeated rows agree; an empty table gives no rows;
-    a column ``_lang`` of the input is replaced.
+    a column ``_lang`` of the input, in any case, is replaced.
     """
     model = docs.sparkSession.sparkContext.broadcast(Scorer(langs, pieces, probs, most_words))  # bounded: vocabulary by languages
 
@@ -238,7 +241,7 @@ def predict_language(docs: DataFrame, langs: list[str], pieces: list[str], probs
                     score[at + i] = float(1 / np.exp(total - total[best]).sum())
             yield pd.DataFrame({"pred": pred, "score": score})
 
-    own = [c for c in docs.columns if c != "_lang"]
+    own = other_columns(docs, "_lang")
     return docs.select(*own, identify(F.col("text")).alias("_lang"))
 
 

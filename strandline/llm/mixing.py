@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, park, table
+from strandline.llm.common import WORD, other_columns, park, table
 
 SEED = "mix-1"
 BLANKS, GAP = " \t\n\x0b\f\r", r"[\x20\x09-\x0D]+"
@@ -53,7 +53,7 @@ def mix(
     empty. Rows with the same key (repeated rows) share the boundary in proportion to their sizes. An empty
     table gives no rows. A column named ``_mix`` or ``_mix_*`` of the input is replaced.
     """
-    own = [c for c in docs.columns if c != "_mix" and not c.startswith("_mix_")]
+    own = other_columns(docs, "_mix", prefix="_mix_")
     size = word_count(F.col("text"))
     quality = quality if quality is not None else quality_weight(F.col("text"), size)
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))

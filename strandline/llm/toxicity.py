@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import fold, park, table
+from strandline.llm.common import fold, other_columns, park, table
 
 # The words of each class of the grammar.
 INSULTS = """arschloch bastard bitch cabron clown coward creep cretin degenerate dimwit disgusting dumbass fool freak garbage gilipollas
@@ -181,10 +181,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
 
     Nulls: a null or empty text has no outputs and the score of the bias; rows without an id or label teach
     nothing; of several labels for an id the highest counts. Without labels the built-in weights hold.
-    Repeated rows score alike. An empty table gives no rows. A column ``_toxic`` or ``_tx_*`` is replaced.
+    Repeated rows score alike. An empty table gives no rows. A column ``_toxic`` or ``_tx_*``, in any case, is replaced.
     """
-    own = [c for c in docs.columns if c != "_toxic" and not c.startswith("_tx_")]
-    truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    own = other_columns(docs, "_toxic", prefix="_tx_")
+    truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     truth = truth.where(fold(F.col("doc_id"), 4) != 2)
     classes = Classes(*learned_insults(docs.select("doc_id", "text"), truth, sample))
     out = docs.select(*own, outputs_udf(classes)(F.col("text")).alias("_tx_outputs"))

@@ -240,11 +240,35 @@ def test_trie_join(spark, most):
     for v, s in zip(values, signed, strict=True):
         groups[roots.get(s, s)].add(v)
     assert {frozenset(g) for g in groups.values()} == brute_classes(values)
-    labels = simhash.trie_join(np.array(values, np.uint64), None, leaf=16)
-    local = defaultdict(set)
-    for v, x in zip(values, labels, strict=True):
-        local[x].add(v)
-    assert {frozenset(g) for g in local.values()} == brute_classes(values)
+    n = len(values)
+    for leaf, wave in ((1, 50), (32, 1 << 16)):
+        walk = simhash.TrieJoin(np.array(values, np.uint64), 4, leaf, wave)
+        labels = walk.join(np.array([[0], [n], [0], [n], [0]]), 64)
+        local = defaultdict(set)
+        for v, x in zip(values, labels, strict=True):
+            local[x].add(v)
+        assert {frozenset(g) for g in local.values()} == brute_classes(values)
+        assert walk.walked > 100 and walk.pruned > 10
+
+
+def test_documents_meet_in_tries(texts, monkeypatch):
+    """Nodes that hold several fingerprints of the fixture are walked in pairs, and the budget prunes."""
+    prints = np.array(sorted({simhash.fingerprint(t) for t in texts.values()}), np.uint64)
+    walk = simhash.TrieJoin(prints, 4)
+    labels = walk.join(np.array([[0], [len(prints)], [0], [len(prints)], [0]]), 64)
+    groups = defaultdict(set)
+    for v, x in zip(prints.tolist(), labels, strict=True):
+        groups[x].add(v)
+    assert {frozenset(g) for g in groups.values()} == brute_classes(prints.tolist())
+    assert walk.walked > len(prints) and walk.pruned > 0
+
+
+def test_values_of_one_class_are_not_compared_again():
+    """A dense group costs no comparison of all pairs once its values are of one class."""
+    dense = np.array(sorted({(1 << 40) ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(64)}), np.uint64)
+    walk = simhash.TrieJoin(dense, 4, leaf=16, wave=256)
+    assert set(walk.join(np.array([[0], [len(dense)], [0], [len(dense)], [0]]), 64).tolist()) == {0}
+    assert walk.walked < len(dense) ** 2 / 8
 
 
 def test_near_duplicates(spark, texts, odd, none):
