@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.llm.common import new_folder, other_columns, park, remove_folder, table
-from strandline.llm.similar import set_key_udf, similar_classes
+from strandline.llm.similar import marks_udf, similar_classes
 
 BITS = 64
 
@@ -301,15 +301,19 @@ def group_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0
     ``_first`` and ``_sh_row`` of the input, in any case, are replaced.
     """
     own = other_columns(docs, "_fp", "_component", "_kept", "_first", "_sh_row")
-    mark = set_key_udf(width) if budget is None else fingerprint_udf(width)
-    hashed = docs.select(*own, mark(F.col("text")).alias("_fp"), F.monotonically_increasing_id().alias("_sh_row"))
+    if budget is None:
+        marks = docs.select(*own, marks_udf(docs, width, similarity)(F.col("text")).alias("_first"), F.monotonically_increasing_id().alias("_sh_row"))
+        hashed = marks.select(*own, F.col("_first.key").alias("_fp"), "_first", "_sh_row")
+    else:
+        hashed = docs.select(*own, fingerprint_udf(width)(F.col("text")).alias("_fp"), F.monotonically_increasing_id().alias("_sh_row"))
     if budget is not None and set(own) <= {"doc_id", "text"}:
         hashed = hashed.drop("text")
     marked = park(hashed, "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("_sh_row").alias("row")))
     values = park(marked.groupBy(F.col("_fp").alias("fp")).agg(first.alias("least")), "values")
     if budget is None:
-        roots = similar_classes(marked.select(F.col("_fp").alias("key"), "text"), width, similarity, components)
+        roots = similar_classes(marked.select("_first.*", "text"), width, similarity, components)
+        marked = marked.drop("_first")
     else:
         roots = components(link_values(values.select("fp"), budget))
     classes = values.join(roots, values.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import park
 
 PARITY = 1024  # bits of a set's parity sketch
-ROUNDS = 3  # of comparing with one member of the largest class, before all pairs left; sets the cost only
+ROUNDS, WORTH = 3, 0.2  # of comparing with one member of the largest class, as long as that links a share WORTH of the pairs, before all pairs left; sets the cost only
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -34,14 +34,6 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 42) if len(found) else 0
 
 
-def set_key_udf(width: int):
-    @F.pandas_udf("long")
-    def keys(text: pd.Series) -> pd.Series:
-        return pd.Series(np.array([set_key(shingle_set(t, width)) for t in text], np.uint64).view(np.int64))
-
-    return keys
-
-
 def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """So many of the set's hashes, rare ones first, that two sets of this similarity share one of them at least.
 
@@ -62,32 +54,46 @@ def parity(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1 == 1).tobytes()
 
 
-def similar_classes(texts: DataFrame, width: int, similarity: float, components: Callable[[DataFrame], DataFrame], sample: int = 8000) -> DataFrame:
-    """(node, root) of the classes under links of pairs (key, text) with at least ``similarity``; keys alone in their class may be missing.
+def marks_udf(docs: DataFrame, width: int, similarity: float, sample: int = 8000):
+    """A UDF from a text to its set: key, n (size), parity sketch and prefix. One pass over the texts gives all that meetings need.
 
-    Sets that share a prefix hash meet. First each is compared with the smallest of those it meets; then, where
-    a hash still joins several classes, sets outside its largest class are compared with one member of that, and
-    after ROUNDS of this with all they meet of other classes. So every pair is compared but those in one class already and those that sizes or parity
-    sketches rule out. Similarity is worked out from whole texts. The sample only sets the order of hashes.
+    The sample of about ``sample`` texts only sets the order of hashes, that is the cost.
     """
-    spark = texts.sparkSession
-    share = int(1_000_000 * min(1.0, sample / max(texts.count(), 1)))
+    text = F.col("text")
+    share = int(1_000_000 * min(1.0, sample / max(docs.count(), 1)))
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, width).view(np.int64) for t in text])
 
-    counted = texts.where(F.pmod("key", F.lit(1_000_000)) < share).dropDuplicates(["key"]).select(F.explode(shingles("text")).alias("h")).groupBy("h").count()
+    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text").distinct()
+    counted = picked.select(F.explode(shingles(text)).alias("h")).groupBy("h").count()
     often = counted.where("count > 2").orderBy(F.desc("count"), "h").limit(500_000).collect()  # bounded
     hashes = np.array([r.h for r in often], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    common = spark.sparkContext.broadcast((hashes[order], np.array([r["count"] for r in often], np.int64)[order]))
+    common = docs.sparkSession.sparkContext.broadcast((hashes[order], np.array([r["count"] for r in often], np.int64)[order]))
+
+    @F.pandas_udf("key long, n int, parity binary, prefix array<int>")
+    def marks(text: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in text:
+            s = shingle_set(t, width)
+            first = (prefix(s, common.value, similarity) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+            rows.append((int(np.uint64(set_key(s)).view(np.int64)), len(s), parity(s), first))
+        return pd.DataFrame(rows, columns=["key", "n", "parity", "prefix"])
 
-    @F.pandas_udf("n int, parity binary, prefix array<int>")
-    def start(text: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, width) for t in text]
-        first = [(prefix(s, common.value, similarity) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for s in sets]
-        return pd.DataFrame({"n": [len(s) for s in sets], "parity": [parity(s) for s in sets], "prefix": first})
+    return marks
+
+
+def similar_classes(texts: DataFrame, width: int, similarity: float, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the classes under links of pairs with at least ``similarity``; keys alone in their class may be missing.
+
+    ``texts``: key, n, parity, prefix (``marks_udf``) and text. Sets that share a prefix hash meet. First each is
+    compared with the smallest of those it meets; then, where
+    a hash still joins several classes, sets outside its largest class are compared with one member of that, and
+    after ROUNDS of this with all they meet of other classes. So every pair is compared but those in one class already and those that sizes or parity
+    sketches rule out. Similarity is worked out from whole texts.
+    """
 
     @F.pandas_udf("boolean")
     def near(text: pd.Series, other: pd.Series) -> pd.Series:
@@ -119,14 +125,14 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
         whole = left.join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
         return park(whole.where(near("ta", "tb")).select("a", "b"), "links")
 
-    begun = texts.where("key <> 0").select("key", start("text").alias("s"))
-    met = park(begun.select("key", "s.n", F.explode("s.prefix").alias("h")).transform(_meetings), "meetings")
+    met = park(texts.where("key <> 0").select("key", "n", F.explode("prefix").alias("h")).transform(_meetings), "meetings")
     joined = met.select("key").distinct()
-    sketches = park(texts.join(joined, "key").dropDuplicates(["key"]).select("key", start("text").alias("s")).select("key", "s.n", "s.parity"), "sketches")
+    sketches = park(texts.select("key", "n", "parity").join(joined, "key").dropDuplicates(["key"]), "sketches")
     fits = F.col("n") * similarity <= F.col("m") + 1e-9  # m is the lesser size
     stars = met.where("key <> leader").where(fits).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     links = checked(stars)
-    for turn in range(ROUNDS + 1):
+    turn = 0
+    while turn <= ROUNDS:
         placed = met.join(components(links), met.key == F.col("node"), "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
         each = placed.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n")).alias("one"))
         largest = each.groupBy("h").agg(F.max(F.struct("c", "root", "one")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
@@ -135,12 +141,15 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
         fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         if turn < ROUNDS:
-            more = checked(few.where(fits("n", "nb")).select(*pair("a", "b")).distinct())
+            pairs = park(few.where(fits("n", "nb")).select(*pair("a", "b")).distinct(), "turn")
+            more = checked(pairs)
             links = links.union(more)
+            turn = turn + 1 if more.count() > WORTH * pairs.count() else ROUNDS
         else:
             few = few.select("h", "a", F.col("n").alias("na"), F.col("root").alias("ra"))
             apart = (F.col("ra") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("key")))
             links = links.union(checked(few.join(placed, "h").where(apart & fits("na", "n")).select(*pair("a", "key")).distinct()))
+            turn += 1
     return components(links)
 
 
