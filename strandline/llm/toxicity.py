@@ -187,17 +187,16 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 8000, threshold:
     truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     truth = truth.where(fold(F.col("doc_id"), 4) != 2)
     classes = Classes(*learned_insults(docs.select("doc_id", "text"), truth, sample))
-    out = docs.select(*own, outputs_udf(classes)(F.col("text")).alias("_tx_outputs"))
-    if set(own) <= {"doc_id", "text"}:
-        out = out.drop("text")
-    out = park(out, "toxicity")
+    marked = docs.select(*own, outputs_udf(classes)(F.col("text")).alias("_tx_outputs"))
+    out = park(marked.select("doc_id", "_tx_outputs"), "toxicity")  # not the texts: they are read a second time instead
     capped = F.transform("_tx_outputs", lambda n: F.least(n, F.lit(MOST_OF_EACH)))
     cells = out.select("doc_id", capped.alias("x")).join(truth, "doc_id").groupBy("x").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     weights = fit_weights([(r.x, r.bad, r.n) for r in cells.orderBy("x").collect()])
     logit = sum((F.least(F.get("_tx_outputs", F.lit(i)), F.lit(MOST_OF_EACH)) * F.lit(float(w)) for i, w in enumerate(weights[1:])), F.lit(float(weights[0])))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
-    kept = [c for c in out.columns if c != "_tx_outputs"]
-    return out.select(*kept, F.struct(F.col("_tx_outputs").alias("outputs"), score.alias("score"), (score >= threshold).cast("int").alias("predicted")).alias("_toxic"))
+    if set(own) <= {"doc_id", "text"}:
+        marked, own = out, ["doc_id"]
+    return marked.select(*own, F.struct(F.col("_tx_outputs").alias("outputs"), score.alias("score"), (score >= threshold).cast("int").alias("predicted")).alias("_toxic"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
