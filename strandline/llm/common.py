@@ -40,6 +40,25 @@ def park(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Shelf:
+    """Tables parked for a while: ``clear`` removes those that are not to be kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def park(self, df: DataFrame, tag: str) -> DataFrame:
+        path = new_folder(self.spark, tag)
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def clear(self, *keep: DataFrame) -> None:
+        kept = {id(df) for df in keep}
+        for key in [k for k in self.paths if k not in kept]:
+            remove_folder(self.spark, self.paths.pop(key)[0])
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``new_folder`` named, wherever it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import park
+from strandline.llm.common import Shelf
 
 PARITY = 1024  # bits of a set's parity sketch
 ROUNDS, WORTH = 3, 0.2  # of comparing with one member of the largest class, as long as that links a share WORTH of the pairs, before all pairs left; sets the cost only
@@ -85,15 +85,18 @@ def marks_udf(docs: DataFrame, width: int, similarity: float, sample: int = 8000
     return marks
 
 
-def similar_classes(texts: DataFrame, width: int, similarity: float, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def similar_classes(texts: DataFrame, width: int, similarity: float, components: Callable[[DataFrame], DataFrame], broadcast_pairs: int = 200_000) -> DataFrame:
     """(node, root) of the classes under links of pairs with at least ``similarity``; keys alone in their class may be missing.
 
     ``texts``: key, n, parity, prefix (``marks_udf``) and text. Sets that share a prefix hash meet. First each is
     compared with the smallest of those it meets; then, where
     a hash still joins several classes, sets outside its largest class are compared with one member of that, and
     after ROUNDS of this with all they meet of other classes. So every pair is compared but those in one class already and those that sizes or parity
-    sketches rule out. Similarity is worked out from whole texts.
+    sketches rule out. Similarity is worked out from whole texts. Up to ``broadcast_pairs`` pairs, their keys (16
+    bytes a pair) are broadcast to pick the texts; beyond, texts meet them by a shuffle.
     """
+    shelf = Shelf(texts.sparkSession)
+    park = shelf.park
 
     @F.pandas_udf("boolean")
     def near(text: pd.Series, other: pd.Series) -> pd.Series:
@@ -121,15 +124,21 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
         left = pairs.join(side("a"), "a").join(side("b"), "b").where(may("n_a", "n_b", "p_a", "p_b")).select("a", "b")
         left = park(left, "pairs")
         need = left.select(F.col("a").alias("key")).union(left.select(F.col("b").alias("key"))).distinct()
+        if left.count() <= broadcast_pairs:
+            need = F.broadcast(need)
         held = park(texts.join(need, "key").dropDuplicates(["key"]), "held")
         whole = left.join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-        return park(whole.where(near("ta", "tb")).select("a", "b"), "links")
+        found.append(park(whole.where(near("ta", "tb")).select("a", "b"), "links"))
+        shelf.clear(met, sketches, placed, *found)
+        return found[-1]
 
     met = park(texts.where("key <> 0").select("key", "n", F.explode("prefix").alias("h")).transform(_meetings), "meetings")
     joined = met.select("key").distinct()
     sketches = park(texts.select("key", "n", "parity").join(joined, "key").dropDuplicates(["key"]), "sketches")
     fits = F.col("n") * similarity <= F.col("m") + 1e-9  # m is the lesser size
     stars = met.where("key <> leader").where(fits).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+    found: list[DataFrame] = []
+    placed = None
     links = checked(stars)
     turn = 0
     while turn <= ROUNDS:
@@ -142,15 +151,18 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         if turn < ROUNDS:
             pairs = park(few.where(fits("n", "nb")).select(*pair("a", "b")).distinct(), "turn")
+            tried = pairs.count()
             more = checked(pairs)
             links = links.union(more)
-            turn = turn + 1 if more.count() > WORTH * pairs.count() else ROUNDS
+            turn = turn + 1 if more.count() > WORTH * tried else ROUNDS
         else:
             few = few.select("h", "a", F.col("n").alias("na"), F.col("root").alias("ra"))
             apart = (F.col("ra") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("key")))
             links = links.union(checked(few.join(placed, "h").where(apart & fits("na", "n")).select(*pair("a", "key")).distinct()))
             turn += 1
-    return components(links)
+    out = components(links)
+    shelf.clear()
+    return out
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
