@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -10,9 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Shelf
+from strandline.llm.common import Shelf, new_folder, remove_folder
 
-PARITY = 1024  # bits of a set's parity sketch
+PARITY = 1024  # bits of a set's parity sketch, at least
 ROUNDS, WORTH = 3, 0.2  # of comparing with one member of the largest class, as long as that links a share WORTH of the pairs, before all pairs left; sets the cost only
 
 
@@ -50,8 +51,21 @@ def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarr
 
 
 def parity(found: np.ndarray) -> bytes:
-    """Bit b tells if an odd number of hashes falls on b: two sketches differ in no more bits than the sets in hashes."""
-    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % PARITY, minlength=PARITY) & 1 == 1).tobytes()
+    """Bit b tells if an odd number of hashes falls on b: two sketches differ in no more bits than the sets in hashes.
+
+    A power of two of bits, twice the size of the set or more, so that it tells long texts apart as well as short ones.
+    """
+    bits = max(PARITY, 1 << (2 * len(found)).bit_length())
+    return np.packbits(np.bincount((found >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1 == 1).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer one folded to the size of the shorter."""
+    x, y = (np.frombuffer(s, np.uint64) for s in (a, b))
+    while len(x) != len(y):
+        x, y = (x, y) if len(x) > len(y) else (y, x)
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def marks_udf(docs: DataFrame, width: int, similarity: float, sample: int = 8000):
@@ -92,10 +106,12 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
     compared with the smallest of those it meets; then, where
     a hash still joins several classes, sets outside its largest class are compared with one member of that, and
     after ROUNDS of this with all they meet of other classes. So every pair is compared but those in one class already and those that sizes or parity
-    sketches rule out. Similarity is worked out from whole texts. Up to ``broadcast_pairs`` pairs, their keys (16
-    bytes a pair) are broadcast to pick the texts; beyond, texts meet them by a shuffle.
+    sketches rule out. Similarity is worked out from whole texts. Up to ``broadcast_pairs`` pairs, their keys and
+    roots (some 30 bytes a pair) are broadcast to meet texts and meetings; beyond, they meet by a shuffle. Meetings
+    are written once in buckets of their hash, so that no turn shuffles them again.
     """
-    shelf = Shelf(texts.sparkSession)
+    spark = texts.sparkSession
+    shelf = Shelf(spark)
     park = shelf.park
 
     @F.pandas_udf("boolean")
@@ -112,10 +128,7 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
 
     @F.pandas_udf("boolean")
     def may(n: pd.Series, m: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        if not len(n):
-            return pd.Series([], dtype=bool)
-        x, y = (np.frombuffer(b"".join(p), np.uint64).reshape(len(n), -1) for p in (a, b))
-        apart = np.bitwise_count(x ^ y).sum(axis=1)
+        apart = np.array([sketch_distance(x, y) for x, y in zip(a, b, strict=True)], float)
         return pd.Series(apart <= (1 - similarity) / (1 + similarity) * (n + m).to_numpy() + 1e-9)
 
     def checked(pairs: DataFrame) -> DataFrame:
@@ -129,23 +142,29 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
         held = park(texts.join(need, "key").dropDuplicates(["key"]), "held")
         whole = left.join(held.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
         found.append(park(whole.where(near("ta", "tb")).select("a", "b"), "links"))
-        shelf.clear(met, sketches, placed, *found)
+        shelf.clear(sketches, *found)
         return found[-1]
 
-    met = park(texts.where("key <> 0").select("key", "n", F.explode("prefix").alias("h")).transform(_meetings), "meetings")
+    many = texts.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    files = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // 2_000_000)), 20_000)
+    name, folder = f"strandline_{uuid.uuid4().hex[:12]}", new_folder(spark, "meetings")
+    dealt = texts.where("key <> 0").select("key", "n", F.explode("prefix").alias("h")).repartition(files, "h").transform(_meetings)
+    dealt.write.format("parquet").option("path", folder).bucketBy(files, "h").saveAsTable(name)
+    met = spark.table(name)
     joined = met.select("key").distinct()
     sketches = park(texts.select("key", "n", "parity").join(joined, "key").dropDuplicates(["key"]), "sketches")
     fits = F.col("n") * similarity <= F.col("m") + 1e-9  # m is the lesser size
     stars = met.where("key <> leader").where(fits).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     found: list[DataFrame] = []
-    placed = None
     links = checked(stars)
     turn = 0
     while turn <= ROUNDS:
-        placed = met.join(components(links), met.key == F.col("node"), "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
+        roots = components(links)
+        roots = F.broadcast(roots) if links.count() <= broadcast_pairs else roots
+        placed = met.select("h", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
         each = placed.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n")).alias("one"))
         largest = each.groupBy("h").agg(F.max(F.struct("c", "root", "one")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-        placed = park(placed.join(largest.select("h", F.col("main.root").alias("main"), F.col("main.one.key").alias("b"), F.col("main.one.n").alias("nb")), "h"), "placed")
+        placed = placed.join(largest.select("h", F.col("main.root").alias("main"), F.col("main.one.key").alias("b"), F.col("main.one.n").alias("nb")), "h")
         few = placed.where("root <> main").withColumnRenamed("key", "a")
         fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -162,6 +181,8 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
             turn += 1
     out = components(links)
     shelf.clear()
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    remove_folder(spark, folder)
     return out
 
 

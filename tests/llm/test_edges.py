@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF
-from strandline.llm import decontaminate, digests, language, language_model, mixing, sharding, simhash, toxicity
+from strandline.llm import decontaminate, digests, language, language_model, mixing, sharding, simhash, similar, toxicity
 from strandline.llm.common import table
 
 
@@ -152,3 +152,14 @@ def test_digests_by_brute_force(spark):
     cut = chance + 4 * (chance * (1 - x / 2048) * (1 - y / 2048)) ** 0.5
     expected = max(0.0, (len(bits[0] & bits[1]) - cut) / (min(x, y) - cut))
     assert digests.likeness(digests.digest(text), digests.digest(other)) == pytest.approx(expected, abs=1e-5) and expected > 0.3
+
+
+def test_sketches_bound_the_difference():
+    """Folded or not, sketches differ in no more bits than the sets in hashes, and tell far sets apart."""
+    rng = np.random.default_rng(8)
+    for n, m, both in ((30, 40, 20), (700, 500, 450), (5000, 4100, 4000), (5000, 4100, 10), (0, 3, 0)):
+        pool = np.unique(rng.integers(0, 2**63, n + m, dtype=np.uint64))
+        a, b = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+        apart = len(np.setxor1d(a, b))
+        found = similar.sketch_distance(similar.parity(a), similar.parity(b))
+        assert apart / 4 <= found <= apart
