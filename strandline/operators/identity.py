@@ -103,10 +103,10 @@ def burden_progression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("*", F.round(F.col("latest") - F.col("nadir"), 6).alias("from_nadir"))
 
 
-@query("burden_latest_call", f"""{_TIMELINE} SELECT subject, max_by(CASE WHEN baseline_sld <= 0 THEN 'NE' WHEN sld = 0 THEN 'CR' WHEN sld - nadir_sld >= {GROW_MM} AND (sld - nadir_sld) * 100 >= nadir_sld * {GROW_PCT} THEN 'PD'
+@query("burden_latest_call", f"""{_TIMELINE} SELECT subject, max_by(CASE WHEN baseline_sld <= 0 THEN 'NE' WHEN complete THEN 'CR' WHEN nadir_sld > 0 AND sld - nadir_sld >= {GROW_MM} AND (sld - nadir_sld) * 100 >= nadir_sld * {GROW_PCT} THEN 'PD'
   WHEN (sld - baseline_sld) * 100 <= baseline_sld * {SHRINK_PCT} THEN 'PR' ELSE 'SD' END, day) AS call FROM n GROUP BY subject""")
 def burden_latest_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of the last timepoint by sums alone, without new lesions."""
     t = timeline(series(table(spark, sf_dir, "events")))
-    call = classify(F.col("sld"), F.col("baseline_sld"), F.col("nadir_sld"), F.lit(False), F.col("sld") == 0)
+    call = classify(F.col("sld"), F.col("baseline_sld"), F.col("nadir_sld"), F.lit(False), F.col("complete"))
     return t.groupBy("subject").agg(F.max_by(call, "day").alias("call"))

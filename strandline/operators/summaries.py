@@ -134,23 +134,36 @@ def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, close).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"))
 
 
-@query("rater_agreement", """WITH c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL),
+@query("rater_agreement", """WITH p AS (SELECT coalesce(CAST(quality AS VARCHAR), '∅null') AS a, coalesce(CAST(toxic AS VARCHAR), '∅null') AS b FROM labels), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL),
 t AS (SELECT sum(n) AS total FROM c), o AS (SELECT sum(n) FILTER (a = b) / any_value(total) AS po FROM c, t),
 e AS (SELECT sum(x.n * y.n) / any_value(total * total) AS pe FROM (SELECT a, sum(n) AS n FROM c GROUP BY a) x JOIN (SELECT b, sum(n) AS n FROM c GROUP BY b) y ON a = b, t)
-SELECT CAST(total AS BIGINT) AS n_items, round(po, 6) AS po, round(pe, 6) AS pe, round(CASE WHEN pe = 1 THEN 1.0 ELSE (po - pe) / (1 - pe) END, 6) AS kappa FROM o, e, t""")
+SELECT CAST(total AS BIGINT) AS n_items, round(po, 6) AS po, round(pe, 6) AS pe, round(CASE WHEN 1 - pe > 1e-12 THEN (po - pe) / (1 - pe) END, 6) AS kappa FROM o, e, t""")
 def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kappa(table(spark, sf_dir, "labels"), "quality", "toxic")
 
 
-def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Cohen's kappa of two raters over the items both labelled; 1 where chance agreement is full. Only the table of counts is joined."""
-    cells = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
-    left, right = cells.groupBy("a").agg(F.sum("n").alias("na")), cells.groupBy("b").agg(F.sum("n").alias("nb"))
-    chance = left.join(right, F.col("a") == F.col("b")).agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0)).alias("both"))
-    total = cells.agg(F.sum("n").alias("n_items"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("same"))
-    out = total.join(F.broadcast(chance)).select("n_items", (F.col("same") / F.col("n_items")).alias("po"), (F.col("both") / (F.col("n_items") * F.col("n_items"))).alias("pe"))  # one row each
-    score = F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe")))
-    return out.select("n_items", F.round("po", 6).alias("po"), F.round("pe", 6).alias("pe"), F.round(score, 6).alias("kappa"))
+#: Fixed value: the category of a slot that a reader left blank.
+BLANK = "∅null"
+
+
+def category(value: Column) -> Column:
+    """A label as a category: structured ones as JSON with keys in order, blank ones a category of their own."""
+    return F.coalesce(value.cast("string"), F.lit(BLANK))
+
+
+def kappa(pairs: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cohen's kappa of two raters, per group of ``by``; null where chance agreement is full or there is nothing to agree on.
+
+    Blank labels are a category. Items are counted by pair of categories first; only these counts meet.
+    """
+    n, by = F.sum("n"), list(by)
+    cells = pairs.groupBy(*by, category(F.col(a)).alias("a"), category(F.col(b)).alias("b")).agg(F.count("*").alias("n"))
+    margins = cells.select(*by, F.col("a").alias("c"), F.col("n").alias("na"), F.lit(0).alias("nb")).union(cells.select(*by, F.col("b").alias("c"), F.lit(0).alias("na"), F.col("n").alias("nb")))
+    both = margins.groupBy(*by, "c").agg((F.sum("na") * F.sum("nb")).alias("chance")).select(*by, F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("same"), "chance")
+    rows = cells.select(*by, "n", F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0).alias("same"), F.lit(0).cast("long").alias("chance")).union(both)
+    out = rows.groupBy(*by).agg(n.alias("n_items"), (F.sum("same") / n).alias("po"), (F.sum("chance") / (n * n)).alias("pe"))
+    score = F.when(1 - F.col("pe") > 1e-12, (F.col("po") - F.col("pe")) / (1 - F.col("pe")))
+    return out.select(*by, F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.round("po", 6).alias("po"), F.round("pe", 6).alias("pe"), F.round(score, 6).alias("kappa"))
 
 
 @query("top_per_group", """SELECT s_nationkey, s_suppkey, s_acctbal, CAST(rank AS INT) AS rank FROM (
