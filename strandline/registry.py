@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-MODULES = ("strandline.plans.burden", "strandline.plans.response", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.operators.review", "strandline.operators.identity", "strandline.operators.evidence", "strandline.operators.chains", "strandline.streaming.appends", "strandline.functions.text", "strandline.functions.measures")
+MODULES = ("strandline.plans.burden", "strandline.plans.response", "strandline.plans.linking", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.operators.review", "strandline.operators.identity", "strandline.operators.evidence", "strandline.operators.chains", "strandline.operators.agreement", "strandline.streaming.appends", "strandline.functions.text", "strandline.functions.measures")
 
 
 def query(name: str, sql: str | None = None):
