@@ -8,7 +8,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Shelf, new_folder, remove_folder
@@ -35,18 +35,20 @@ def set_key(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), 42) if len(found) else 0
 
 
-def prefix(found: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+def prefix(found: np.ndarray, common: tuple[np.ndarray, np.ndarray, int], similarity: float) -> np.ndarray:
     """So many of the set's hashes, rare ones first, that two sets of this similarity share one of them at least.
 
     Two such sets share ceil(similarity * n) hashes of the n of either; all but one fewer than that are taken.
-    ``common`` (sorted hashes, their ranks) comes last. Any order that all sets share will do.
+    ``common`` (``common_hashes``) comes last, in the order of its counts. Any order that all sets share will do.
     """
     n = len(found)
     take = n - int(np.ceil(similarity * n - 1e-9)) + 1 if n else 0
     rank = np.zeros(n, np.int64)
-    if len(common[0]) and n:
-        at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
-        rank = np.where(common[0][at] == found, common[1][at], 0)
+    hashes, counts, shift = common
+    if len(hashes) and n:
+        short = found >> np.uint64(shift)
+        at = np.minimum(np.searchsorted(hashes, short), len(hashes) - 1)
+        rank = np.where(hashes[at] == short, counts[at], 0)
     return found[np.lexsort((found, rank))[:take]]
 
 
@@ -68,32 +70,77 @@ def sketch_distance(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def marks_udf(docs: DataFrame, width: int, similarity: float, sample: int = 8000):
-    """A UDF from a text to its set: key, n (size), parity sketch and prefix. One pass over the texts gives all that meetings need.
+def common_hashes(docs: DataFrame, width: int, bound: int = 1_000_000, range_bytes: int = 4 << 20, held_hashes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most frequent hashes of all texts' sets, at most ``bound``: sorted hashes without their ``shift`` lowest bits, counts, shift.
 
-    The sample of about ``sample`` texts only sets the order of hashes, that is the cost.
+    Every set of every text counts (equal sets that a task holds together count once). Tasks send 40 bits of each
+    hash below the bits that name its range, as a block per range; there is a range for some ``range_bytes`` of text,
+    so no range grows with the corpus. Hashes of two sets or more are counted there, and those above the least
+    count that leaves ``bound`` of them are collected.
     """
-    text = F.col("text")
-    share = int(1_000_000 * min(1.0, sample / max(docs.count(), 1)))
+    import pyarrow as pa
+
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min((size // range_bytes).bit_length(), 24)
+    shift = 24 - bits
+
+    def blocks(batches):
+        held: dict[int, np.ndarray] = {}
+        n = 0
+
+        def flush():
+            h = np.sort(np.concatenate(list(held.values()))) >> np.uint64(shift)
+            name = (h >> np.uint64(40)).astype(np.int64)
+            edge = np.concatenate([[0], np.flatnonzero(np.diff(name)) + 1, [len(h)]])
+            octets = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+            sent = [octets[i:j].T.tobytes() for i, j in zip(edge[:-1], edge[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(name[edge[:-1]]), pa.array(sent, pa.binary())], names=["range", "hashes"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = shingle_set(text, width)
+                if len(found) and (key := set_key(found)) not in held:
+                    held[key] = found
+                    n += len(found)
+                if n >= held_hashes:
+                    yield flush()
+                    held.clear()
+                    n = 0
+        if held:
+            yield flush()
+
+    def counts(sent: pd.DataFrame) -> pd.DataFrame:
+        wide = [np.zeros((len(b) // 5, 8), np.uint8) for b in sent.hashes]
+        for octets, block in zip(wide, sent.hashes, strict=True):
+            octets[:, :5] = np.frombuffer(block, np.uint8).reshape(5, -1).T
+        h, n = np.unique(np.concatenate(wide).view("<u8").ravel(), return_counts=True)
+        first = np.uint64(int(sent.range.iloc[0])) << np.uint64(40)
+        return pd.DataFrame({"h": (h[n > 1] | first).view(np.int64), "n": n[n > 1]})
+
+    shelf = Shelf(docs.sparkSession)
+    sent = docs.select("text").mapInArrow(blocks, "range long, hashes binary")
+    counted = shelf.park(sent.groupBy("range").applyInPandas(counts, "h long, n long"), "counts")
+    level = F.floor(F.log2("n") * 4)
+    sizes = sorted(((r.level, r.m) for r in counted.groupBy(level.alias("level")).agg(F.count("*").alias("m")).collect()), reverse=True)
+    total = np.cumsum([m for _, m in sizes])
+    taken = [at for (at, _), m in zip(sizes, total, strict=True) if m <= bound]
+    often = counted.where(level >= taken[-1] if taken else F.lit(False)).toArrow()
+    shelf.clear()
+    hashes = often.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], often.column("n").to_numpy()[order], shift
 
-    @F.pandas_udf("array<long>")
-    def shingles(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(t, width).view(np.int64) for t in text])
 
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share).select("text").distinct()
-    counted = picked.select(F.explode(shingles(text)).alias("h")).groupBy("h").count()
-    often = counted.where("count > 2").orderBy(F.desc("count"), "h").limit(500_000).collect()  # bounded
-    hashes = np.array([r.h for r in often], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    common = docs.sparkSession.sparkContext.broadcast((hashes[order], np.array([r["count"] for r in often], np.int64)[order]))
+def marks_udf(docs: DataFrame, width: int, similarity: float):
+    """A UDF from a text to its set: key, n (size), parity sketch and prefix. One pass over the texts gives all that meetings need."""
+    common = docs.sparkSession.sparkContext.broadcast(common_hashes(docs, width))
 
-    @F.pandas_udf("key long, n int, parity binary, prefix array<int>")
+    @F.pandas_udf("key long, n int, parity binary, prefix array<long>")
     def marks(text: pd.Series) -> pd.DataFrame:
         rows = []
         for t in text:
             s = shingle_set(t, width)
-            first = (prefix(s, common.value, similarity) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-            rows.append((int(np.uint64(set_key(s)).view(np.int64)), len(s), parity(s), first))
+            rows.append((int(np.uint64(set_key(s)).view(np.int64)), len(s), parity(s), prefix(s, common.value, similarity).view(np.int64)))
         return pd.DataFrame(rows, columns=["key", "n", "parity", "prefix"])
 
     return marks
@@ -102,7 +149,8 @@ def marks_udf(docs: DataFrame, width: int, similarity: float, sample: int = 8000
 def similar_classes(texts: DataFrame, width: int, similarity: float, components: Callable[[DataFrame], DataFrame], broadcast_pairs: int = 200_000) -> DataFrame:
     """(node, root) of the classes under links of pairs with at least ``similarity``; keys alone in their class may be missing.
 
-    ``texts``: key, n, parity, prefix (``marks_udf``) and text. Sets that share a prefix hash meet. First each is
+    ``texts``: key, n, parity, prefix (``marks_udf``) and text. Sets that share a prefix hash meet, if what either
+    has from it on is enough for the similarity: similar sets do so at the first hash they share. First each is
     compared with the smallest of those it meets; then, where
     a hash still joins several classes, sets outside its largest class are compared with one member of that, and
     after ROUNDS of this with all they meet of other classes. So every pair is compared but those in one class already and those that sizes or parity
@@ -148,36 +196,40 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
     many = texts.agg(F.sum(F.size("prefix"))).first()[0] or 0
     files = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-many // 2_000_000)), 20_000)
     name, folder = f"strandline_{uuid.uuid4().hex[:12]}", new_folder(spark, "meetings")
-    dealt = texts.where("key <> 0").select("key", "n", F.explode("prefix").alias("h")).repartition(files, "h").transform(_meetings)
+    dealt = texts.where("key <> 0").select("key", "n", F.posexplode("prefix").alias("at", "h")).repartition(files, "h").transform(_meetings)
     dealt.write.format("parquet").option("path", folder).bucketBy(files, "h").saveAsTable(name)
     met = spark.table(name)
     joined = met.select("key").distinct()
     sketches = park(texts.select("key", "n", "parity").join(joined, "key").dropDuplicates(["key"]), "sketches")
-    fits = F.col("n") * similarity <= F.col("m") + 1e-9  # m is the lesser size
-    stars = met.where("key <> leader").where(fits).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
+
+    def fits(n: str, at: str, m: str, other: str) -> Column:
+        """Sizes and places in the order of two sets that meet allow the similarity."""
+        n, at, m, other = (F.col(c) for c in (n, at, m, other))
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - at, m - other) >= similarity / (1 + similarity) * (n + m) - 1e-9)
+
+    stars = met.where("key <> leader").where(fits("n", "at", "m", "leader_at")).select(F.col("key").alias("a"), F.col("leader").alias("b")).distinct()
     found: list[DataFrame] = []
     links = checked(stars)
     turn = 0
     while turn <= ROUNDS:
         roots = components(links)
         roots = F.broadcast(roots) if links.count() <= broadcast_pairs else roots
-        placed = met.select("h", "key", "n").join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", F.coalesce("root", "key").alias("root"))
-        each = placed.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n")).alias("one"))
+        placed = met.select("h", "key", "n", "at").join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", "at", F.coalesce("root", "key").alias("root"))
+        each = placed.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "at")).alias("one"))
         largest = each.groupBy("h").agg(F.max(F.struct("c", "root", "one")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
-        placed = placed.join(largest.select("h", F.col("main.root").alias("main"), F.col("main.one.key").alias("b"), F.col("main.one.n").alias("nb")), "h")
+        placed = placed.join(largest.select("h", F.col("main.root").alias("main"), F.col("main.one.key").alias("b"), F.col("main.one.n").alias("nb"), F.col("main.one.at").alias("at_b")), "h")
         few = placed.where("root <> main").withColumnRenamed("key", "a")
-        fits = lambda n, m: F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
         pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
         if turn < ROUNDS:
-            pairs = park(few.where(fits("n", "nb")).select(*pair("a", "b")).distinct(), "turn")
+            pairs = park(few.where(fits("n", "at", "nb", "at_b")).select(*pair("a", "b")).distinct(), "turn")
             tried = pairs.count()
             more = checked(pairs)
             links = links.union(more)
             turn = turn + 1 if more.count() > WORTH * tried else ROUNDS
         else:
-            few = few.select("h", "a", F.col("n").alias("na"), F.col("root").alias("ra"))
+            few = few.select("h", "a", F.col("n").alias("na"), F.col("at").alias("at_a"), F.col("root").alias("ra"))
             apart = (F.col("ra") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("key")))
-            links = links.union(checked(few.join(placed, "h").where(apart & fits("na", "n")).select(*pair("a", "key")).distinct()))
+            links = links.union(checked(few.join(placed, "h").where(apart & fits("na", "at_a", "n", "at")).select(*pair("a", "key")).distinct()))
             turn += 1
     out = components(links)
     shelf.clear()
@@ -187,10 +239,11 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """Rows (key, n, h) whose h several keys have, once each, with the key and size of the smallest: ``leader``, ``m``."""
+    """Rows (key, n, at, h) whose h several keys have, once each, with key, size and place of the smallest: ``leader``, ``m``, ``leader_at``."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("h").orderBy("n", "key")
-    rows = rows.select("h", "key", "n", F.first("key").over(w).alias("leader"), F.first("n").over(w).alias("m"), F.lead("key").over(w).alias("next"))
+    first = [F.first(c).over(w).alias(to) for c, to in (("key", "leader"), ("n", "m"), ("at", "leader_at"))]
+    rows = rows.select("h", "key", "n", "at", *first, F.lead("key").over(w).alias("next"))
     last = F.col("next").isNull() | (F.col("next") != F.col("key"))  # of the equal rows
     return rows.where(last & ((F.col("key") != F.col("leader")) | F.col("next").isNotNull())).drop("next")

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF, same_rows
-from strandline.llm import blocks, decontaminate, digests, language, language_model, mixing, repeats, sharding, simhash, toxicity, warc
+from strandline.llm import blocks, decontaminate, digests, language, language_model, mixing, repeats, sharding, simhash, similar, toxicity, warc
 from strandline.llm.common import new_folder, park, table
 
 LONG = " ".join(f"wort{i * 37 % 101}" for i in range(4000))
@@ -426,6 +426,8 @@ def test_similar_texts_by_brute_force(spark):
                 w = base.copy()
                 w[rng.choice(n, edits, replace=False)] = rng.choice(vocabulary, edits)
                 rows.append(" ".join(w))
+    passage = rng.choice(vocabulary, 100)
+    rows += [" ".join([*rng.choice(vocabulary, own // 2), *passage, *rng.choice(vocabulary, own - own // 2)]) for own in (4, 8, 12, 16, 20, 24, 30, 40) for _ in range(8)]
     rows += ["", "  ", "one two", "One  two", "a b c d e", "a b c d e f"]
     sets = [shingles5(t) for t in rows]
     root = list(range(len(rows)))
@@ -446,6 +448,23 @@ def test_similar_texts_by_brute_force(spark):
     assert len(set(got.values())) < len(rows) - 50  # near copies have met
 
 
+def test_common_hashes_by_brute_force(spark):
+    """Counts are those of all sets, however texts are dealt; a bound keeps the most frequent."""
+    rng = np.random.default_rng(5)
+    rows = [" ".join(rng.choice(list("abcd"), rng.integers(0, 60))) for _ in range(300)] + ["", "one"]
+    frame = spark.createDataFrame([(t,) for t in [*rows, None]], "text string").repartition(7)
+    held = Counter(int(h) for t in set(rows) for h in similar.shingle_set(t, 5))
+    few = {k: n for k, n in held.items() if n > 1}
+    hashes, counts, shift = similar.common_hashes(frame, 5, range_bytes=256, held_hashes=1)
+    sums = Counter(int(h) for t in rows for h in similar.shingle_set(t, 5))
+    assert dict(zip(hashes.tolist(), counts.tolist(), strict=True)) == {h >> shift: n for h, n in sums.items() if n > 1} and shift < 24
+    assert {h >> shift for h in few} <= set(hashes.tolist()) and (np.diff(hashes.astype(object)) > 0).all()
+    most, n, _ = similar.common_hashes(frame, 5, bound=50, range_bytes=256)
+    assert 0 < len(most) <= 50 and n.min() >= np.sort(counts)[-60]
+    assert len(similar.common_hashes(frame.where("text = 'one'").limit(1), 5)[0]) == 0
+    assert len(similar.common_hashes(frame.where("text is null"), 5)[0]) == 0
+
+
 def test_all_letter_pieces_are_learned(none):
     """Also pieces of over five characters, the start mark included."""
     import sentencepiece
