@@ -151,9 +151,10 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
 
     ``texts``: key, n, parity, prefix (``marks_udf``) and text. Sets that share a prefix hash meet, if what either
     has from it on is enough for the similarity: similar sets do so at the first hash they share. First each is
-    compared with the smallest of those it meets; then, where
-    a hash still joins several classes, sets outside its largest class are compared with one member of that, and
-    after ROUNDS of this with all they meet of other classes. So every pair is compared but those in one class already and those that sizes or parity
+    compared with the most central of those it meets, the one with the fewest hashes rarer than the shared one:
+    of copies of one text with edits of their own, the least edited, which is within reach of nearly all the others. Then,
+    where a hash still joins several classes, sets outside its largest class are compared with a central member of that,
+    and after ROUNDS of this with all they meet of other classes. So every pair is compared but those in one class already and those that sizes or parity
     sketches rule out. Similarity is worked out from whole texts. Up to ``broadcast_pairs`` pairs, their keys and
     roots (some 30 bytes a pair) are broadcast to meet texts and meetings; beyond, they meet by a shuffle. Meetings
     are written once in buckets of their hash, so that no turn shuffles them again.
@@ -215,7 +216,7 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
         roots = components(links)
         roots = F.broadcast(roots) if links.count() <= broadcast_pairs else roots
         placed = met.select("h", "key", "n", "at").join(roots, F.col("key") == F.col("node"), "left").select("h", "key", "n", "at", F.coalesce("root", "key").alias("root"))
-        each = placed.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "at")).alias("one"))
+        each = placed.groupBy("h", "root").agg(F.count("*").alias("c"), F.min(F.struct(F.col("at").alias("rare"), F.xxhash64("key", F.lit(turn)), "key", "n", "at")).alias("one"))
         largest = each.groupBy("h").agg(F.max(F.struct("c", "root", "one")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
         placed = placed.join(largest.select("h", F.col("main.root").alias("main"), F.col("main.one.key").alias("b"), F.col("main.one.n").alias("nb"), F.col("main.one.at").alias("at_b")), "h")
         few = placed.where("root <> main").withColumnRenamed("key", "a")
@@ -239,10 +240,10 @@ def similar_classes(texts: DataFrame, width: int, similarity: float, components:
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """Rows (key, n, at, h) whose h several keys have, once each, with key, size and place of the smallest: ``leader``, ``m``, ``leader_at``."""
+    """Rows (key, n, at, h) whose h several keys have, once each, with key, size and place of the one with the fewest rarer hashes: ``leader``, ``m``, ``leader_at``."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("h").orderBy("n", "key")
+    w = Window.partitionBy("h").orderBy("at", "n", "key")
     first = [F.first(c).over(w).alias(to) for c, to in (("key", "leader"), ("n", "m"), ("at", "leader_at"))]
     rows = rows.select("h", "key", "n", "at", *first, F.lead("key").over(w).alias("next"))
     last = F.col("next").isNull() | (F.col("next") != F.col("key"))  # of the equal rows
