@@ -66,23 +66,33 @@ def naive_side(events: DataFrame, members: DataFrame, selections: DataFrame) ->
 
 
 def contrast(events: DataFrame, members: DataFrame, selections: DataFrame) -> DataFrame:
-    """Per subject: best response by machine tracks, by confirmed identities (only if a target merges several tracks), and whether they differ."""
+    """Per subject with a selection: best response by machine tracks, by confirmed identities (only if a target merges several tracks), and whether they differ.
+
+    Where nothing was measured the best response is NE.
+    """
     naive = best_overall(naive_side(events, members, selections)).select("subject", F.col("best").alias("naive_best"))
     confirmed = best_overall(confirmed_side(events, members, selections)).select("subject", F.col("best").alias("confirmed_best"))
     merged = selections.join(members, ["subject", "lesion"]).groupBy("subject", "lesion").agg(F.countDistinct("track").alias("n")).groupBy("subject").agg(F.max("n").alias("n"))
-    out = naive.join(confirmed, "subject", "full").join(merged, "subject", "left")
+    out = selections.select("subject").distinct().join(naive, "subject", "left").join(confirmed, "subject", "left").join(merged, "subject", "left")
+    out = out.withColumns({c: F.coalesce(c, F.lit("NE")) for c in ("naive_best", "confirmed_best")})
     best = F.when(F.col("n") > 1, F.col("confirmed_best"))
     return out.select("subject", "naive_best", best.alias("confirmed_best"), F.coalesce(best != F.col("naive_best"), F.lit(False)).alias("discrepancy"))
 
 
-def selection_faults(selections: DataFrame) -> DataFrame:
-    """(subject, fault) where a selection breaks a cap or holds a lesion that can't be measured; organs compare trimmed and in lower case, a missing one is unknown."""
+def selection_faults(selections: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """(subject, fault) where a selection breaks a cap or holds a lesion or node that is too small to measure; of ``subjects``, also those that select nothing.
+
+    Organs compare trimmed and in lower case, a missing one is unknown. All faults are named, not the first alone.
+    """
     organ = F.coalesce(F.nullif(F.lower(F.btrim("organ")), F.lit("")), F.lit("unknown"))
-    least = F.when(F.col("nodal"), LEAST_NODAL_MM).otherwise(LEAST_MM)
-    small = (F.col("baseline_mm") > 0) & (F.col("baseline_mm") < least)
-    per_organ = selections.groupBy("subject", organ.alias("organ")).agg(F.count("*").alias("n"), F.bool_or(small).alias("small"))
-    each = per_organ.groupBy("subject").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.bool_or("small").alias("small"))
-    faults = F.array(F.when(F.col("n") > MOST_TARGETS, "too_many_targets"), F.when(F.col("most") > MOST_PER_ORGAN, "too_many_per_organ"), F.when(F.col("small"), "target_not_measurable"))
+    small = lambda least: F.bool_or((F.col("baseline_mm") > 0) & (F.col("baseline_mm") < least))
+    nodal = F.coalesce("nodal", F.lit(False))
+    per_organ = selections.groupBy("subject", organ.alias("organ"), nodal.alias("nodal")).agg(F.count("*").alias("n"), small(LEAST_MM).alias("lesion"), small(LEAST_NODAL_MM).alias("node"))
+    per_organ = per_organ.groupBy("subject", "organ").agg(F.sum("n").alias("n"), F.bool_or(F.col("lesion") & ~F.col("nodal")).alias("lesion"), F.bool_or(F.col("node") & F.col("nodal")).alias("node"))
+    each = per_organ.groupBy("subject").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.bool_or("lesion").alias("lesion"), F.bool_or("node").alias("node"))
+    if subjects is not None:
+        each = subjects.select("subject").distinct().join(each, "subject", "left")
+    faults = F.array(F.when(F.col("n").isNull(), "no_targets"), F.when(F.col("n") > MOST_TARGETS, "too_many_targets"), F.when(F.col("most") > MOST_PER_ORGAN, "too_many_per_organ"), F.when(F.col("node"), "node_target_too_small"), F.when(F.col("lesion"), "target_too_small"))
     return each.select("subject", F.explode(F.array_compact(faults)).alias("fault"))
 
 
@@ -163,11 +173,13 @@ def response_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contrast(*_inputs(spark, sf_dir))
 
 
-@query("selection_faults", f"""WITH {_BASE}, x AS (SELECT subject, trim(lower(substr(lesion, 1, 1))) AS organ, count(*) AS n, bool_or(baseline_mm > 0 AND baseline_mm < CASE WHEN nodal THEN 15 ELSE 10 END) AS small FROM sel GROUP BY ALL),
-y AS (SELECT subject, sum(n) AS n, max(n) AS most, bool_or(small) AS small FROM x GROUP BY subject)
-SELECT subject, unnest(list_filter([CASE WHEN n > 5 THEN 'too_many_targets' END, CASE WHEN most > 2 THEN 'too_many_per_organ' END, CASE WHEN small THEN 'target_not_measurable' END], lambda x: x IS NOT NULL)) AS fault FROM y""")
+@query("selection_faults", f"""WITH {_BASE}, x AS (SELECT subject, trim(lower(substr(lesion, 1, 1))) AS organ, count(*) AS n, bool_or(baseline_mm > 0 AND baseline_mm < 15 AND nodal) AS node, bool_or(baseline_mm > 0 AND baseline_mm < 10 AND NOT nodal) AS lesion FROM sel GROUP BY ALL),
+y AS (SELECT subject, sum(n) AS n, max(n) AS most, bool_or(node) AS node, bool_or(lesion) AS lesion FROM x GROUP BY subject),
+z AS (SELECT s.subject, y.* EXCLUDE subject FROM (SELECT DISTINCT subject FROM e) s LEFT JOIN y ON s.subject = y.subject)
+SELECT subject, unnest(list_filter([CASE WHEN n IS NULL THEN 'no_targets' END, CASE WHEN n > 5 THEN 'too_many_targets' END, CASE WHEN most > 2 THEN 'too_many_per_organ' END, CASE WHEN node THEN 'node_target_too_small' END, CASE WHEN lesion THEN 'target_too_small' END], lambda x: x IS NOT NULL)) AS fault FROM z""")
 def selection_faults_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection_faults(_inputs(spark, sf_dir)[2])
+    events, _, selections = _inputs(spark, sf_dir)
+    return selection_faults(selections, events)
 
 
 # --- the older evaluation: the least sum over all dates, no baseline in place of missing measurements
@@ -194,9 +206,13 @@ def classify_all(new_or_growing: Column, has_target: Column, sld: Column, least:
     return F.when(new_or_growing, "PD").when(~has_target, "Unknown").when(sld == 0, "CR").when(grown, "PD").when(from_first <= -30, "PR").otherwise("SD")
 
 
+#: What measurements, targets, days and a sign of new lesions add to the confidence.
+MEASURED_PART, TARGETS_PART, DAYS_PART, SIGN_PART = 0.35, 0.35, 0.2, 0.1
+
+
 def completeness(n_targets: Column, n_days: Column, new_signal: Column, measured: Column) -> Column:
-    """Confidence from what there is: 0.35 for measurements, up to 0.35 for five targets, up to 0.2 for four days, 0.1 for a sign of new lesions."""
-    total = measured.cast("int") * 0.35 + F.least(n_targets / 5, F.lit(1.0)) * 0.35 + F.least(n_days / 4, F.lit(1.0)) * 0.2 + new_signal.cast("int") * 0.1
+    """Confidence from what there is: for measurements, for up to five targets, for up to four days, for a sign of new lesions."""
+    total = measured.cast("int") * MEASURED_PART + F.least(n_targets / 5, F.lit(1.0)) * TARGETS_PART + F.least(n_days / 4, F.lit(1.0)) * DAYS_PART + new_signal.cast("int") * SIGN_PART
     return F.round(F.least(total, F.lit(1.0)), 2)
 
 

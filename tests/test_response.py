@@ -35,7 +35,8 @@ def test_no_contrast_without_a_merge(split):
     events, members, selections = split
     lung = selections.where("lesion = 'lung'")
     assert [tuple(r) for r in response.contrast(events, members, lung).collect()] == [("p", "PR", None, False)]
-    assert response.contrast(events.limit(0), members, selections).count() == 0
+    assert [tuple(r) for r in response.contrast(events.limit(0), members, selections).collect()] == [("p", "NE", "NE", False)]
+    assert response.contrast(events, members, selections.limit(0)).count() == 0
 
 
 def test_long_series(spark):
@@ -68,7 +69,10 @@ def test_nodes(spark):
     measured = spark.createDataFrame([("p", "n1", "x", True, DAYS[0], 14.9), ("p", "n2", "x", True, DAYS[0], 15.0), ("p", "l1", "y", False, DAYS[0], 10.0), ("p", "l2", "y", False, DAYS[0], 9.9)], "subject string, lesion string, organ string, nodal boolean, day date, mm double")
     assert {r.lesion for r in burden.select_targets(measured).collect()} == {"n2", "l1"}
     picked = spark.createDataFrame([("a", "L", 20.0, False)] * 3 + [("b", "o", 14.0, True), ("b", None, 20.0, False), ("c", "q", 0.0, True)], "subject string, organ string, baseline_mm double, nodal boolean")
-    assert {tuple(r) for r in response.selection_faults(picked).collect()} == {("a", "too_many_per_organ"), ("b", "target_not_measurable")}
+    assert {tuple(r) for r in response.selection_faults(picked).collect()} == {("a", "too_many_per_organ"), ("b", "node_target_too_small")}
+    small = spark.createDataFrame([("a", "x", 9.0, False), ("a", "y", 14.0, True), ("a", "z", 14.0, None)], "subject string, organ string, baseline_mm double, nodal boolean")
+    some = spark.createDataFrame([("a",), ("n",)], "subject string")
+    assert {tuple(r) for r in response.selection_faults(small, some).collect()} == {("a", "target_too_small"), ("a", "node_target_too_small"), ("n", "no_targets")}
 
 
 def test_agreement(spark):
