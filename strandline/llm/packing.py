@@ -15,57 +15,58 @@ from pyspark.sql import types as T
 
 from strandline.llm.common import other_columns, table
 
-#: What a vocabulary of lower-case words splits off, in texts of SIMPLE characters only. The same pattern stands in the tokenizer's file, over all of Unicode.
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[^a-z0-9ß-öø-įı-ſ]+")
-#: Printable ASCII, Latin letters that have a form of their own in either case, some marks. Normal forms leave these alone.
-SIMPLE = re.compile("[!-~À-ÖØ-öø-įı-ſ«»“”„‘’–—…§°]+")
+#: Of these characters normal forms, blanks and cases are plain: printable ASCII, Latin letters that have a form of their own in either case, some marks.
+SIMPLE = "!-~À-ÖØ-öø-įı-ſ«»“”„‘’–—…§°"
+ODD = re.compile(f"[^{SIMPLE} \\t-\\r]")
+#: How the vocabulary's own pattern splits texts of such characters in lower case; it is in the tokenizer's file, for all of Unicode.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-įı-ſ]+|[0-9]|[^a-z0-9ß-öø-įı-ſ \\t-\\r]+")
 
 
 class Encoder:
-    """Ids of whole texts, as the tokenizer in ``path`` gives them, by way of the runs between ASCII blanks.
+    """Ids of whole texts, as the tokenizer in ``path`` gives them.
 
-    No piece of this vocabulary crosses a blank, and a run's ids don't depend on its neighbours. So each run is
-    encoded once, while it is among ``most`` known ones; simple runs are split into words here, and only words not
-    known yet meet the pair merges. Everything else is left to the tokenizer itself.
+    No piece of this vocabulary crosses a blank, and what stands between blanks has the same ids wherever it stands.
+    Runs of simple characters are split into pieces here, and a piece meets the pair merges once, while it is among
+    ``most`` known ones. A run with any other character is left to the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.whole = Tokenizer.from_file(path)
-        self.special = tuple(t["content"] for t in spec["added_tokens"])
+        self.odd = re.compile("|".join([ODD.pattern, *[re.escape(t["content"]) for t in spec["added_tokens"]]]))
         spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
         self.merges = Tokenizer.from_str(json.dumps(spec))
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.most = most
 
-    def _learn(self, runs: set[bytes]) -> None:
-        if len(self.runs) > self.most:
-            self.runs.clear()
-        if len(self.words) > self.most:
-            self.words.clear()
-        simple, rest = {}, {}
-        for run in runs:
-            text = run.decode("utf-8", "replace")
-            if SIMPLE.fullmatch(text) and not any(s in text for s in self.special):
-                simple[run] = PIECES.findall(text.lower())
-            else:
-                rest[run] = text
-        fresh = list({w for words in simple.values() for w in words if w not in self.words})
+    def _simple(self, text: str) -> bytes:
+        pieces = PIECES.findall(text.lower())
+        fresh = list(set(pieces).difference(self.known))
         if fresh:
+            if len(self.known) > self.most:
+                self.known.clear()
+                fresh = list(set(pieces))
             found = self.merges.encode(fresh, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
-            ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(fresh))) * 4
-            for w, a, b in zip(fresh, [0, *ends.tolist()], ends.tolist(), strict=False):
-                self.words[w] = ids[a:b]
-        for run, words in simple.items():
-            self.runs[run] = b"".join([self.words[w] for w in words])
-        for run, found in zip(rest, self.whole.encode_batch_fast(list(rest.values()), add_special_tokens=False), strict=True):
-            self.runs[run] = np.array(found.ids, "<u4").tobytes()
+            ends = (np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(fresh))) * 4).tolist()
+            self.known.update(zip(fresh, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+        return b"".join(map(self.known.__getitem__, pieces))
+
+    def _mixed(self, text: str) -> bytes:
+        """Stretches of simple runs one way, those of others the other way."""
+        out, at = [], 0
+        runs = [m for m in re.finditer("[^ \\t-\\r]+", text) if self.odd.search(text, *m.span())]
+        for m in runs:
+            out.append(self._simple(text[at : m.start()]))
+            out.append(m)
+            at = m.end()
+        out.append(self._simple(text[at:]))
+        ids = iter(self.whole.encode_batch_fast([m[0] for m in runs], add_special_tokens=False))
+        return b"".join([x if isinstance(x, bytes) else np.array(next(ids).ids, "<u4").tobytes() for x in out])
 
     def encode(self, data: bytes, most: int = 1 << 20) -> bytes:
         """Ids as unsigned little-endian numbers of 32 bits; long texts are cut at blanks, so that only their ids are held whole."""
@@ -75,12 +76,8 @@ class Encoder:
             if end - at > most:
                 blank = re.compile(rb"[ \t-\r]").search(data, at + most)
                 end = blank.start() if blank else end
-            runs = (data if end - at == len(data) else data[at:end]).split()
-            if missing := set(runs).difference(self.runs):
-                self._learn(missing)
-                if missing := set(runs).difference(self.runs):  # some were forgotten on the way
-                    self._learn(missing)
-            out.append(b"".join([self.runs[r] for r in runs]))
+            text = data[at:end].decode("utf-8", "replace")
+            out.append(self._mixed(text) if self.odd.search(text) else self._simple(text))
             at = end
         return b"".join(out)
 

@@ -176,7 +176,7 @@ def test_ids_are_the_tokenizers(whole, encoder, text):
 
 
 def test_ids_of_every_simple_character(whole, encoder):
-    simple = [c for c in map(chr, range(0x2100)) if packing.SIMPLE.fullmatch(c)]
+    simple = [c for c in map(chr, range(0x2100)) if not packing.ODD.search(c)]
     texts = [t for c in simple for t in (c, f"a{c}b", f"{c}{c}1{c}'s", f"É{c}é.")] + ["x<|endoftext|>y", "it's 'TWAS we'LL", "<|startoftext|>"]
     for text, found in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == found.ids, text
