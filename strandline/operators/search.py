@@ -59,22 +59,22 @@ class Index:
         self.bounds = self.postings.groupBy("gram").agg(F.count("*").alias("df"), F.max("w").alias("top"))
 
 
-def _scored(candidates: DataFrame, index: Index, asked: DataFrame) -> DataFrame:
-    """(query_id, id, score) of candidate pairs by their whole vectors."""
-    both = candidates.join(index.vectors, index.key).join(asked, "query_id")
-    dot = F.aggregate(F.map_entries("asked"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.get(F.array(F.try_element_at("vector", e["key"])), F.lit(0)), F.lit(0.0)))
-    return both.select("query_id", index.key, F.round(dot, DIGITS).alias("score"))
+def _dot() -> Column:
+    """Of a query's vector and a text's."""
+    other = lambda gram: F.coalesce(F.try_element_at("vector", gram), F.lit(0.0))
+    return F.aggregate(F.map_entries("asked"), F.lit(0.0), lambda acc, e: acc + e["value"] * other(e["key"]))
 
 
 def search(index: Index, queries: DataFrame, k: int = 5, threshold: float = 0.0, seeds: int = 3) -> DataFrame:
     """(query_id, id, score, rank): of each query (query_id, text) the ``k`` texts of the highest cosine, at least ``threshold`` and above 0; ties to the smaller id.
 
-    The result is that of all pairs, yet only those are scored that can be in it. First the texts that share one of
-    the query's ``seeds`` rarest grams are scored; their k-th score is a bar that the result reaches. Then the query's
-    grams are put in order of frequency, and the most frequent ones are left out as long as they could not, all
-    together and at their highest weights anywhere, reach the bar: a text that shares only those is in no result. So a gram
-    that a third of all texts hold is looked up only by queries that nothing rarer serves. The join on grams can be split
-    where one is hot, as nothing needs a gram's rows together.
+    The result is that of all pairs, yet only those are scored that can be in it. First come the texts that share one of
+    the query's rarest grams (``seeds`` of them at least, more while few texts hold them): their k-th score is a bar that the result
+    reaches. Then the query's grams are put in order of frequency, and the most frequent ones are left out as long as they could not,
+    all together, reach the bar, be it by their highest weights anywhere or by the length of their part of the query: a text that shares only those is in no result.
+    The others are looked up and their products summed; a text is scored in full only if that sum and all that the left-out
+    grams can add reach the bar. So a gram that a third of all texts hold is looked up only for queries that nothing rarer
+    serves. Nothing needs a gram's rows together, so its join can be split and its sums begin before they are exchanged.
 
     Grams that no text holds count for nothing, in the query's length too. Queries without known grams, null texts: no rows.
     """
@@ -82,15 +82,32 @@ def search(index: Index, queries: DataFrame, k: int = 5, threshold: float = 0.0,
     asked = _unit(counted.select("query_id", "gram", (F.col("tf") * F.col("idf")).alias("w")), "query_id", "asked")
     each = asked.select("query_id", F.explode("asked").alias("gram", "qw")).join(index.bounds, "gram")
     rare = Window.partitionBy("query_id").orderBy("df", "gram")  # a query's grams: bounded by its text
+    upto = rare.rowsBetween(Window.unboundedPreceding, -1)
     common_first = Window.partitionBy("query_id").orderBy(F.desc("df"), F.desc("gram")).rowsBetween(Window.unboundedPreceding, 0)
-    each = each.withColumn("nth", F.row_number().over(rare)).withColumn("reach", F.sum(F.col("qw") * F.col("top")).over(common_first))
-    meet = lambda some: some.select("query_id", "gram").join(index.postings.select("gram", index.key), "gram").select("query_id", index.key).distinct()
+    each = each.select("*", F.row_number().over(rare).alias("nth"), F.coalesce(F.sum("df").over(upto), F.lit(0)).alias("met"), F.sum(F.col("qw") * F.col("top")).over(common_first).alias("most"), F.sqrt(F.sum(F.col("qw") * F.col("qw")).over(common_first)).alias("length"))
+    each = each.withColumn("reach", F.least("most", "length"))
+    postings = index.postings.select("gram", index.key, "w")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), index.key)
-    first = _scored(meet(each.where(F.col("nth") <= seeds)), index, asked)
-    bar = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
     slack = 10.0**-DIGITS
-    needed = each.join(bar, "query_id", "left").where(F.col("reach") >= F.greatest(F.coalesce("bar", F.lit(0.0)), F.lit(threshold)) - slack)
-    ranked = _scored(meet(needed), index, asked).where((F.col("score") > 0) & (F.col("score") >= threshold)).withColumn("rank", F.row_number().over(best))
+
+    seeded = each.where((F.col("nth") <= seeds) | (F.col("met") < 4 * k)).select("query_id", "gram").join(postings, "gram").select("query_id", index.key).distinct()
+    first = seeded.join(index.vectors, index.key).join(asked, "query_id").select("query_id", index.key, F.round(_dot(), DIGITS).alias("score"))
+    bar = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    need = F.greatest(F.coalesce("bar", F.lit(0.0)), F.lit(threshold)) - slack
+    marked = each.join(bar, "query_id", "left").select("query_id", "gram", "qw", "reach", "length", need.alias("need"))
+    left_out = lambda c: F.coalesce(F.max(F.when(F.col("reach") < F.col("need"), F.col(c))).over(Window.partitionBy("query_id")), F.lit(0.0))
+    needed = marked.withColumns({"rest": left_out("reach"), "rest_length": left_out("length")}).where("reach >= need").select("query_id", "gram", "qw", "need", "rest", "rest_length")
+    summed = needed.join(postings, "gram").groupBy("query_id", index.key, "need", "rest", "rest_length").agg(F.sum(F.col("qw") * F.col("w")).alias("some"), F.sum(F.col("w") * F.col("w")).alias("used"))
+    # both vectors are of length one: what the text has left over bounds the rest, too
+    summed = summed.where("some + least(rest, rest_length * sqrt(greatest(0, 1 - used))) >= need")
+    # sums so far are below the scores: the k-th of them is a bar, too, and mostly a higher one
+    ahead = summed.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("some")))).where(F.col("rank") <= k)
+    ahead = ahead.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("some") - slack).otherwise(0.0).alias("ahead"))
+    summed = summed.join(ahead, "query_id").where("some + least(rest, rest_length * sqrt(greatest(0, 1 - used))) >= ahead")
+    # where no gram was left out the sum is the score
+    whole = summed.where("rest = 0").select("query_id", index.key, F.round("some", DIGITS).alias("score"))
+    part = summed.where("rest > 0").select("query_id", index.key).join(index.vectors, index.key).join(asked, "query_id").select("query_id", index.key, F.round(_dot(), DIGITS).alias("score"))
+    ranked = whole.unionByName(part).where((F.col("score") > 0) & (F.col("score") >= threshold)).withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= k)
 
 
@@ -121,16 +138,16 @@ def matched(queries: DataFrame, concepts: DataFrame, k: int = 5, threshold: floa
     return ranked.where(F.col("rank") <= k)
 
 
-# --- the fixture: parts by name, brand and type; every twentieth part's text with a letter changed asks
+# --- the fixture: addresses of pages as texts; every twentieth, with letters changed, asks
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type", F.concat(F.lit("s"), "p_size")).alias("text"))
-    asked = parts.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.translate("text", "ri", "nu").alias("text"))
-    return parts, asked
+def _addresses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    texts = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_replace("url", "[^A-Za-z0-9]+", " ").alias("text"))
+    asked = texts.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.translate("text", "ri", "nu").alias("text"))
+    return texts, asked
 
 
-@query("fuzzy_parts", f"""WITH t AS (SELECT p_partkey AS id, concat_ws(' ', p_name, p_brand, p_type, 's' || p_size) AS text FROM part),
+@query("fuzzy_addresses", f"""WITH t AS (SELECT page_id AS id, regexp_replace(url, '[^A-Za-z0-9]+', ' ', 'g') AS text FROM pages),
 w AS (SELECT 0 AS q, id, unnest(string_split(lower(text), ' ')) AS w FROM t UNION ALL SELECT 1, id, unnest(string_split(lower(translate(text, 'ri', 'nu')), ' ')) FROM t WHERE id % 20 = 0),
 g AS (SELECT q, id, unnest(flatten(list_transform(range({LEAST}, {MOST + 1}), lambda n: list_transform(range(1, len(w) + 4 - n), lambda i: substr(' ' || w || ' ', i, n))))) AS gram FROM w WHERE w <> ''),
 c AS (SELECT q, id, gram, count(*) AS tf FROM g GROUP BY ALL),
@@ -139,6 +156,6 @@ v AS (SELECT q, id, gram, tf * idf AS w FROM c JOIN f USING (gram)),
 u AS (SELECT q, id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY q, id)) AS w FROM v),
 s AS (SELECT a.id AS query_id, b.id, round(sum(a.w * b.w), {DIGITS}) AS score FROM u AS a JOIN u AS b ON a.gram = b.gram AND a.q = 1 AND b.q = 0 GROUP BY ALL)
 SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
-def fuzzy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts, asked = _parts(spark, sf_dir)
-    return search(Index(parts), asked)
+def fuzzy_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts, asked = _addresses(spark, sf_dir)
+    return search(Index(texts), asked)
