@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LOWER, UPPER, other_columns, park, table
+from strandline.llm.common import LOWER, UPPER, Shelf, other_columns, park, table
 
 #: What stands between words, once A-Z became a-z, and before. A word: letters, digits and all characters beyond ASCII.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -85,8 +85,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
 
     Of the document side, grams meet the benchmark's first and are winnowed after: the two filters commute, and
     few grams meet. The benchmark's grams are counted: up to ``broadcast_rows`` of them (some 200 bytes each) are
-    broadcast; beyond, a shuffled join of narrow rows finds the documents that can match first. Documents are regrouped by id
-    and a hash of their text.
+    broadcast; beyond, a shuffled join of narrow rows finds the documents that can match first, and of those every gram
+    travels with the hashes of the words around it, at most 14: bytes are in proportion to the words. Documents are
+    regrouped by id and a hash of their text. Tables written on the way go before the result is read, but for the hits.
 
     Nulls: a null text has no words; a null item_id counts as no item but its windows do. Repeated rows get
     equal results. Empty tables are fine on either side. Columns ``_hit`` and ``_hit_*`` of the input, in any case, are replaced.
@@ -98,17 +99,40 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
     known = _with_context(_anchors(items, ["item_id"], span, k, short, items=True), span, k).where(_kept(span, k))
     # a line that many items share meets a document's once, with all their ids
     known = known.groupBy(F.col("size").alias("i_size"), F.col("f").alias("i_f"), F.col("lead").alias("i_lead"), F.col("around").alias("i_around")).agg(F.collect_set("item_id").alias("ids"))
-    known = park(known, "winnowed")
+    shelf = Shelf(docs.sparkSession)
+    try:
+        hits = _hits(docs, shelf.park(known, "winnowed"), span, k, short, broadcast_rows, shelf)
+    finally:
+        shelf.clear()
+    n_words = F.coalesce(F.size(words_between(F.col("text"), GAP_ANY_CASE)), F.lit(0)).cast("long")
+    n_words = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_words)
+    counted = docs.select(*own, F.struct(n_words.alias("n_words"), F.xxhash64("text").alias("th")).alias("_hit_c"))
+    joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hit_c.th") == F.col("_hit_th")), "left")
+    found = F.transform(F.coalesce("_hit_items", F.array()), lambda x: x.cast("string"))
+    return joined.select(
+        *own,
+        F.struct(
+            F.col("_hit_c.n_words").alias("n_words"),
+            F.coalesce("_hit_n", F.lit(0)).cast("long").alias("n_hit"),
+            F.size(found).cast("long").alias("n_items"),
+            F.array_sort(found).alias("items"),
+            (F.coalesce("_hit_n", F.lit(0)) > 0).alias("contaminated"),
+        ).alias("_hit"),
+    )
+
+
+def _hits(docs: DataFrame, known: DataFrame, span: int, k: int, short: list[int], broadcast_rows: int, shelf: Shelf) -> DataFrame:
+    """(_hit_id, _hit_th, _hit_n, _hit_items) of texts with a window of an item, parked."""
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_th")).where("text is not null")
     same_gram = (F.col("f") == F.col("i_f")) & (F.col("size") == F.col("i_size"))
     if known.count() <= broadcast_rows:
-        known = F.broadcast(known)
+        met = _with_context(_anchors(keyed, ["doc_id", "_th"], span, k, short, items=False).join(F.broadcast(known), same_gram), span, k).where(_kept(span, k))
     else:
         narrow = _anchors(keyed, ["doc_id", "_th"], span, k, short, items=False).select("doc_id", "_th", "f", "size")
-        some = park(narrow.join(known.select("i_f", "i_size").distinct(), same_gram, "left_semi").select(F.col("doc_id").alias("_s_id"), F.col("_th").alias("_s_th")).distinct(), "candidates")
+        some = shelf.park(narrow.join(known.select("i_f", "i_size").distinct(), same_gram, "left_semi").select(F.col("doc_id").alias("_s_id"), F.col("_th").alias("_s_th")).distinct(), "candidates")
         keyed = keyed.join(some, F.col("doc_id").eqNullSafe(F.col("_s_id")) & (F.col("_th") == F.col("_s_th")), "left_semi")
-    met = _anchors(keyed, ["doc_id", "_th"], span, k, short, items=False).join(known, same_gram)
-    met = _with_context(met, span, k).where(_kept(span, k))
+        # the text's hashes are cut to those around a gram before anything is exchanged
+        met = _with_context(_anchors(keyed, ["doc_id", "_th"], span, k, short, items=False), span, k).join(known, same_gram).where(_kept(span, k))
 
     def same(back: Column) -> Column:
         """Whether the window that starts ``back`` words before the gram is whole and equal on both sides."""
@@ -126,22 +150,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, k: int
         return F.aggregate(F.array_sort(starts), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
 
     hits = spans.groupBy("doc_id", "_th").agg(covered(F.collect_list(F.struct("at", "size"))).alias("n_hit"), F.array_distinct(F.flatten(F.collect_set("some"))).alias("items"))
-    hits = park(hits.select(F.col("doc_id").alias("_hit_id"), F.col("_th").alias("_hit_th"), F.col("n_hit").alias("_hit_n"), F.col("items").alias("_hit_items")), "hits")
-    n_words = F.coalesce(F.size(words_between(F.col("text"), GAP_ANY_CASE)), F.lit(0)).cast("long")
-    n_words = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(n_words)
-    counted = docs.select(*own, F.struct(n_words.alias("n_words"), F.xxhash64("text").alias("th")).alias("_hit_c"))
-    joined = counted.join(hits, F.col("doc_id").eqNullSafe(F.col("_hit_id")) & (F.col("_hit_c.th") == F.col("_hit_th")), "left")
-    found = F.transform(F.coalesce("_hit_items", F.array()), lambda x: x.cast("string"))
-    return joined.select(
-        *own,
-        F.struct(
-            F.col("_hit_c.n_words").alias("n_words"),
-            F.coalesce("_hit_n", F.lit(0)).cast("long").alias("n_hit"),
-            F.size(found).cast("long").alias("n_items"),
-            F.array_sort(found).alias("items"),
-            (F.coalesce("_hit_n", F.lit(0)) > 0).alias("contaminated"),
-        ).alias("_hit"),
-    )
+    return park(hits.select(F.col("doc_id").alias("_hit_id"), F.col("_th").alias("_hit_th"), F.col("n_hit").alias("_hit_n"), F.col("items").alias("_hit_items")), "hits")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,3 +163,81 @@ def test_sketches_bound_the_difference():
         apart = len(np.setxor1d(a, b))
         found = similar.sketch_distance(similar.parity(a), similar.parity(b))
         assert apart / 4 <= found <= apart
+
+
+def test_learned_marks(spark):
+    """Counted one row at a time: copies of a clause once, shares by the interval's lower end, repeats of other marks left out."""
+    import math
+    import re
+
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        toxic = i % 3 == 0
+        words = [f"w{chr(97 + int(c))}{chr(97 + int(d))}x" for c, d in rng.integers(0, 12, (8, 2))]
+        if toxic and rng.random() < 0.5:
+            words.insert(3, "grumpf" + chr(97 + i % 7))
+        if rng.random() < 0.04:
+            words.insert(0, "zonk")
+        rows.append((i, " ".join(words) + ". " + " ".join(words[:2]), int(toxic)))
+    rows += [(1000 + i, "copied blorb clause; other", 1) for i in range(30)] + [(2000, None, 1), (2001, "", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = toxicity.learned_insults(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"), 10_000)
+
+    seen = {}
+    for doc, text, toxic in rows:
+        first = {}
+        for clause in re.split(r"[.!?;:|\n\r]", (text or "").lower()):
+            h = xxhash.xxh64(clause.encode(), seed=42).intdigest()
+            h -= (h >> 63) << 64
+            for w in re.findall(r"[^\W\d_]+", clause):
+                for e in [w, *(w[:k] + "*" for k in (4, 5, 6, 7) if len(w) > k)]:
+                    first[e] = min(first.get(e, h), h)
+        for e, h in first.items():
+            seen.setdefault(e, {}).setdefault(h, []).append(toxic)
+
+    def low(bad, n):
+        z2, p = 1.96**2, bad / n
+        return (p + z2 / 2 / n - 1.96 * math.sqrt(p * (1 - p) / n + z2 / 4 / n / n)) / (1 + z2 / n)
+
+    marks = []
+    for e, hs in seen.items():
+        bad, n = sum(min(t) for t in hs.values()), len(hs)
+        if len(e) > 2 and low(bad, n) > 0.6:
+            marks.append((e, bad, n))
+    assert found == toxicity.distinct_marks(marks)
+    assert found[1] == ["grumpf"] and "blorb" not in found[0] and "zonk" not in found[0]
+    assert toxicity.distinct_marks([("idiot", 9, 9), ("idio*", 9, 9), ("trash", 8, 8), ("tras*", 12, 12), ("trashe*", 7, 7)]) == (["idiot"], ["tras"])
+
+
+def test_shuffled_contamination(spark):
+    """Beyond the broadcast the exchanged bytes follow the text, not the square of its length, and the tables on the way go."""
+    import os
+
+    from strandline.llm.common import shared_folder
+
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def moved(words):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i * 7919 % 100003}" for i in range(words)))], "doc_id long, text string")
+        bench = spark.createDataFrame([(5, " ".join(f"w{i * 7919 % 100003}" for i in range(20, 60)))], "item_id long, text string")
+        before = store.executionsCount()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            assert decontaminate.contamination(docs, bench, broadcast_rows=0).first()._hit.n_hit == 40
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        total = 0.0
+        for i in range(before, store.executionsCount()):
+            e = store.executionsList().apply(i)
+            values = store.executionMetrics(e.executionId())
+            for m in (e.metrics().apply(j) for j in range(e.metrics().size())):
+                if m.name() == "shuffle bytes written" and values.contains(m.accumulatorId()):
+                    number, unit = values.apply(m.accumulatorId()).split("\n")[-1].split("(")[0].split()[:2]
+                    total += float(number.replace(",", "")) * {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}[unit]
+        return total
+
+    left = set(os.listdir(shared_folder(spark).removeprefix("file:")))
+    small, large = moved(4000), moved(16_000)
+    assert 0 < large < 8 * small and large < 20e6  # 100 KB of text
+    assert {n.split("-")[1] for n in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - left} <= {"hits"}
