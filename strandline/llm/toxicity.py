@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,22 +135,47 @@ def outputs_udf(classes: Classes):
     return outputs
 
 
-def learned_insults(docs: DataFrame, labels: DataFrame, sample: int, most: int = 1000) -> tuple[list[str], list[str]]:
-    """(words, stems) that mark toxic rows: in six toxic rows of the sample, or one in 500 of all if that is more, and 9 in 10 rows that hold them are toxic.
+#: A mark's rows are surely toxic by so much, at the lower end of the interval that 1.96 standard errors leave (Wilson's): 6 of 6, 12 of 13, 18 of 20.
+LEAST_SHARE, ERRORS, FEWEST = 0.6, 1.96, 6
 
-    Stems are beginnings of four to seven letters. The sample is bounded: about ``sample`` labelled rows,
-    picked by a hash of the id; at most ``most`` entries are kept, those in most toxic rows first.
+
+def lower_share(bad: Column, n: Column) -> Column:
+    """The lower end of Wilson's interval for the share of ``bad`` in ``n``."""
+    z2, p = ERRORS * ERRORS, bad / n
+    return (p + z2 / (2 * n) - ERRORS * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def distinct_marks(marks: list[tuple[str, int, int]]) -> tuple[list[str], list[str]]:
+    """(words, stems) of (mark, toxic rows, rows), without those that say what another one says.
+
+    A stem that stands in the rows of one word or longer stem only is that; of what remains a word or stem that begins with a stem is.
+    """
+    rows = {m: (bad, n) for m, bad, n in marks}
+    repeats = {m[:k] + "*" for m in rows for k in (4, 5, 6, 7) if len(m.rstrip("*")) > k and rows.get(m[:k] + "*") == rows[m]}
+    stems = {m[:-1] for m in rows if m[-1] == "*"} - {m[:-1] for m in repeats}
+    covered = lambda m: any(m[:k] in stems for k in range(1, len(m)))
+    return sorted(m for m in rows if m[-1] != "*" and m not in stems and not covered(m)), sorted(m for m in stems if not covered(m))
+
+
+def learned_insults(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[list[str], list[str]]:
+    """(words, stems) that mark toxic rows: of the sample's rows that hold one, LEAST_SHARE are toxic even at the lower end of the interval.
+
+    The test is on counts alone, whatever the size of the table, and all that pass it are kept. Rows with the mark in one and the
+    same clause are copies of each other and count once, as toxic if all are. Stems are beginnings of four to seven letters. The sample is bounded: about ``sample`` labelled rows, picked by a hash of the id.
     """
-    n = labels.count()
-    part, least = min(1.0, sample / max(n, 1)), max(6, min(n, sample) // 500)
+    part = min(1.0, sample / max(labels.count(), 1))
     picked = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
     rows = docs.join(F.broadcast(picked.limit(4 * sample)), "doc_id")  # the bound of the sample bounds this side
-    words = F.array_distinct(F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""))
-    # a stem is written with a star: texts of an array are told apart by hashing, structs only pair by pair
+    clauses = rows.select("doc_id", "toxic", F.explode(F.split(F.lower("text"), CLAUSE_END.pattern)).alias("c")).select("doc_id", "toxic", F.xxhash64("c").alias("h"), F.array_distinct(F.array_remove(F.split("c", r"[^\p{L}]+"), "")).alias("words"))
+    # a stem is written with a star
     entries = lambda w: F.concat(F.array(w), *[F.when(F.length(w) > k, F.array(F.concat(F.substr(w, F.lit(1), F.lit(k)), F.lit("*")))).otherwise(F.array().cast("array<string>")) for k in (4, 5, 6, 7)])
-    marks = rows.select(F.explode(F.array_distinct(F.flatten(F.transform(words, entries)))).alias("e"), "toxic").groupBy("e").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    best = marks.where((F.col("bad") >= least) & (F.col("bad") >= 0.9 * F.col("n")) & (F.length("e") > 2)).orderBy(F.desc("bad"), "e").limit(most).collect()
-    return sorted(r.e for r in best if r.e[-1] != "*"), sorted(r.e[:-1] for r in best if r.e[-1] == "*")
+    held = clauses.select("doc_id", "toxic", "h", F.explode(F.flatten(F.transform("words", entries))).alias("e")).where(F.length("e") > 2)
+    # only marks of toxic rows can pass; they are as many as the toxic words of the sample
+    seen = held.where("toxic = 1").groupBy("e").agg(F.countDistinct("doc_id").alias("k")).where(F.col("k") >= FEWEST).select("e")
+    once = held.join(seen, "e", "left_semi").groupBy("e", "doc_id", "toxic").agg(F.min("h").alias("h")).groupBy("e", "h").agg(F.min("toxic").alias("toxic"))
+    marks = once.groupBy("e").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    best = marks.where(lower_share(F.col("bad"), F.col("n")) > LEAST_SHARE).collect()  # of the sample's words
+    return distinct_marks([(r.e, r.bad, r.n) for r in best])
 
 
 def fit_weights(cells: list[tuple[list[int], int, int]]) -> np.ndarray:
