@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.registry import query
 from strandline.sources.tables import table
@@ -19,16 +22,25 @@ def row_hash(previous: Column, *fields: Column) -> Column:
 def chained(rows: DataFrame, key: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """``rows`` with ``prev_hash`` (null for the first of a key) and ``row_hash``.
 
-    Each hash takes in the one before, so a key's rows are folded in order in one row of a group: what grows with a
-    key is its rows' fields. Keys are independent of one another.
+    Each hash takes in the one before, so a key's rows are put in order and hashed in one pass by one task, which holds
+    them: its time and memory grow with the rows of a key. Keys are independent of one another. Columns named
+    ``_ch_*``, in any case, are left out.
     """
-    columns = [c for c in rows.columns if c not in key]
-    entries = F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
-    step = lambda done, x: F.concat(done, F.array(F.struct(x.alias("row"), F.get(done, F.size(done) - 1)["row_hash"].alias("prev_hash"), row_hash(F.get(done, F.size(done) - 1)["row_hash"], *[x[f] for f in fields]).alias("row_hash"))))
-    inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for c in (*order, *[c for c in columns if c not in order]) for f in [rows.schema[c]])
-    empty = F.array().cast(f"array<struct<row: struct<{inner}>, prev_hash: string, row_hash: string>>")
-    folded = rows.groupBy(*key).agg(F.aggregate(entries, empty, step).alias("chain"))
-    return folded.select(*key, F.explode("chain").alias("c")).select(*key, *[F.col(f"c.row.{c}") for c in columns], "c.prev_hash", "c.row_hash")
+    columns = [c for c in rows.columns if c not in key and not c.lower().startswith("_ch_")]
+    text = F.concat_ws("|", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    placed = rows.select(*key, *columns, text.alias("_ch_text"), F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("_ch_at"))
+
+    def one_pass(group):
+        import pyarrow as pa
+
+        group = group.sort_by("_ch_at")
+        hashes = [None]
+        for entry in group["_ch_text"].to_pylist():
+            hashes.append(hashlib.sha256(f"{hashes[-1] or GENESIS}|{entry}".encode()).hexdigest())
+        return pa.table([*[group[c] for c in (*key, *columns)], pa.array(hashes[:-1], pa.string()), pa.array(hashes[1:], pa.string())], names=[*key, *columns, "prev_hash", "row_hash"])
+
+    kind = T.StructType([*[rows.schema[c] for c in (*key, *columns)], T.StructField("prev_hash", T.StringType()), T.StructField("row_hash", T.StringType())])
+    return placed.groupBy(*key).applyInArrow(one_pass, kind)
 
 
 def chain_faults(rows: DataFrame, key: list[str], order: list[str], fields: list[str]) -> DataFrame:

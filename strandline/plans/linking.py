@@ -110,7 +110,7 @@ LINKED = "subject string, report_id string, frame_index int, track_key string, l
 def link_events(events: DataFrame) -> DataFrame:
     """LINKED for each of ``events``: the track it joins, and how that was decided.
 
-    A subject's events are taken by (report_date, report_id, frame_index). Each meets the tracks before it of the same
+    A subject's events are taken by (report_date, report_id, frame_index), missing ones first. Each meets the tracks before it of the same
     type, lesion and family whose anatomy and side are compatible. None: a new track under its own key. Its own key among
     them, or one track only: linked. Several: unresolved, on a track of its own that nothing joins. An event marked
     as unresolved stays so. A decision depends on those before it, so a subject is one group, and its state is one entry
@@ -120,10 +120,10 @@ def link_events(events: DataFrame) -> DataFrame:
     keyed = event_keys(events).select(*[F.col(c).cast("string") if c in ("subject", "report_id", "report_date") else F.col(c) for c in columns])
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.assign(report_date=group.report_date.fillna(""), frame_index=group.frame_index.fillna(0))
+        group = group.assign(report_date=group.report_date.fillna(""), frame_index=group.frame_index.fillna(0), _report=group.report_id.fillna(""))
         by_kind: dict[tuple, dict[str, tuple]] = {}
         rows = []
-        for e in group.sort_values(["report_date", "report_id", "frame_index"], kind="stable").itertuples(index=False, name=None):
+        for e in group.sort_values(["report_date", "_report", "frame_index"], kind="stable").drop(columns="_report").itertuples(index=False, name=None):
             subject, report, _, index, kind, anatomy, side, family, lesion, unresolved, catch_all, identity, base = e
             open_tracks = by_kind.setdefault((kind, lesion, family), {})
             found = [] if catch_all and not lesion else sorted(k for k, (a, s, seed) in open_tracks.items() if (lesion or not seed) and anatomy_compatible(anatomy, a) and laterality_compatible(side, s))
@@ -137,7 +137,7 @@ def link_events(events: DataFrame) -> DataFrame:
                 key, status, decision = found[0], "linked", "compatible_merge"
             else:
                 key, status, decision = f"{base}|unresolved_link|{identity}", "unresolved_link", "ambiguous_compatible_tracks"
-            if status != "unresolved_link":
+            if status != "unresolved_link" and (lesion or not catch_all):  # nothing can join a catch-all without a lesion
                 open_tracks[key] = (anatomy, side, catch_all)
             rows.append((subject, report, int(index), key, status, decision, found if status != "new_track" else []))
         return pd.DataFrame(rows, columns=["subject", "report_id", "frame_index", "track_key", "link_status", "link_decision", "candidates"])

@@ -60,6 +60,43 @@ def test_compatible_sites():
     assert linking.laterality_compatible("left", "") and not linking.laterality_compatible("left", "right")
 
 
+def one_by_one(rows):
+    """rows: keyed events as dicts, of one subject. The rules over a plain list of all tracks so far: [(report_id, frame_index, key, decision, candidates)]."""
+    tracks, out = [], []
+    for e in sorted(rows, key=lambda e: (e["report_date"] or "", e["report_id"] or "", e["frame_index"] or 0)):
+        fits = {t["key"] for t in tracks if (t["kind"], t["family"], t["lesion"]) == (e["_kind"], e["link_family"], e["_lesion"]) and linking.anatomy_compatible(e["link_anatomy"], t["anatomy"]) and linking.laterality_compatible(e["link_laterality"], t["side"]) and (e["_lesion"] or not (t["catch_all"] or e["_catch_all"]))}
+        base = e["base_track_key"]
+        apart = f"{base}|unresolved_link|{e['_identity']}"
+        if e["_unresolved"]:
+            key, decision = apart, "explicit_unresolved_link"
+        elif not fits:
+            key, decision = base, "new_track"
+        elif base in fits or len(fits) == 1:
+            key, decision = (base, "exact_key") if base in fits else (*fits, "compatible_merge")
+        else:
+            key, decision = apart, "ambiguous_compatible_tracks"
+        if key != apart:
+            # a track has the site and side of its last event
+            tracks = [t for t in tracks if t["key"] != key or (t["kind"], t["family"], t["lesion"]) != (e["_kind"], e["link_family"], e["_lesion"])]
+            tracks.append({"key": key, "kind": e["_kind"], "family": e["link_family"], "lesion": e["_lesion"], "anatomy": e["link_anatomy"], "side": e["link_laterality"], "catch_all": e["_catch_all"]})
+        out.append((e["report_id"], e["frame_index"] or 0, key, decision, [] if decision == "new_track" else sorted(fits)))
+    return out
+
+
+def test_linker_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pick = lambda *xs: xs[int(rng.integers(len(xs)))]
+    rows = [(f"s{i % 4}", pick(None, "a", "b"), pick(None, "2024-01-01", "2024-02-01"), i, pick("fracture", "pleural effusion", "other important finding", "device or line"), pick("rib", "bone", "thorax", "", None), pick("left", "right", "", None), pick("present", "absent"), pick(None, None, "L1", "unresolved link"), pick("EKG leads", "tip"), None, pick("checklist", "catch all"), pick(False, False, True)) for i in range(300)]
+    frame = spark.createDataFrame(rows, KIND)
+    keyed = [r.asDict() for r in linking.event_keys(frame).collect()]
+    want = [(s, *r) for s in sorted({r["subject"] for r in keyed}) for r in one_by_one([k for k in keyed if k["subject"] == s])]
+    got = [(r.subject, r.report_id, r.frame_index, r.track_key, r.link_decision, r.candidates) for r in linking.link_events(frame).collect()]
+    assert sorted(got, key=lambda r: (r[0], r[2])) == sorted(want, key=lambda r: (r[0], r[2]))
+    assert {r[4] for r in got} == {"new_track", "exact_key", "compatible_merge", "explicit_unresolved_link", "ambiguous_compatible_tracks"}
+    first = events(spark, [("2024-01-01", "fracture", "rib", "", None)] * 2).withColumn("report_id", F.when(F.col("frame_index") == 0, "a")).withColumn("frame_index", F.lit(1))
+    assert [(r.report_id, r.link_decision) for r in linking.link_events(first).orderBy("link_decision").collect()] == [("a", "exact_key"), (None, "new_track")]
+
+
 def test_pairs_by_brute_force(spark):
     sites, sides = ["rib", "thorax", "bone", "kidney", "abdomen", "unknown", "heart"], ["left", "right", "unknown", "not_applicable"]
     rows = [("p", f"{k}|{a}|{s}", k, a, s) for k in ("x", "other_important_finding") for a in sites for s in sides] + [("q", "x|rib|left", "x", "rib", "left")]
