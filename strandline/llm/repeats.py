@@ -17,6 +17,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from strandline.llm.blocks import BASE, BYTES, Blocks, mixed, prefix_hashes, runs, span_hashes
 from strandline.llm.common import new_folder, park, remove_folder, table
@@ -260,11 +261,14 @@ def remove_repeats(docs: DataFrame, block_bytes: int = 2 << 20) -> DataFrame:
     documents hold are exchanged as hashes of their strings with the least id of each block, so a passage in
     a third of all documents brings no more than a row per block and string to any task.
 
+    Ids are whole numbers, as texts are judged by the smaller id; others are an error before anything is written.
     Nulls: a null text is empty; a row without an id loses nothing and removes nothing. Texts under 50
     bytes stay whole. Rows that repeat an id don't remove each other's bytes. An empty table gives no rows.
     Other columns of ``docs``, whatever their names, are not read and not returned.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError(f"doc_id must be a whole number, not {docs.schema['doc_id'].dataType.simpleString()}")
     blocks = Blocks(docs.select("doc_id", "text"), block_bytes)
     bits = blocks.bits
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from conftest import SF
-from strandline.llm import decontaminate, digests, language, language_model, mixing, sharding, simhash, similar, toxicity
+from strandline.llm import decontaminate, digests, language, language_model, mixing, repeats, sharding, simhash, similar, toxicity
 from strandline.llm.common import table
 
 
@@ -241,3 +241,10 @@ def test_shuffled_contamination(spark):
     small, large = moved(4000), moved(16_000)
     assert 0 < large < 8 * small and large < 20e6  # 100 KB of text
     assert {n.split("-")[1] for n in set(os.listdir(shared_folder(spark).removeprefix("file:"))) - left} <= {"hits"}
+
+
+def test_repeats_of_text_ids(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError):
+        repeats.remove_repeats(docs)
+    assert repeats.remove_repeats(docs.selectExpr("cast(1 as int) as doc_id", "text")).first().n_bytes == 1
