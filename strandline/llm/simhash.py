@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.llm.common import new_folder, other_columns, park, remove_folder, table
+from strandline.llm.common import arrow_batches, new_folder, other_columns, park, remove_folder, table
 from strandline.llm.similar import marks_udf, similar_classes
 
 BITS = 64
@@ -300,6 +300,14 @@ def group_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0
     Repeated rows share their class. An empty table gives no rows. Columns ``_fp``, ``_component``, ``_kept``,
     ``_first`` and ``_sh_row`` of the input, in any case, are replaced.
     """
+    if budget is None:
+        # texts meet in Python here; all of it runs before this returns
+        with arrow_batches(docs.sparkSession, 8 << 20):
+            return _grouped(docs, width, similarity, budget)
+    return _grouped(docs, width, similarity, budget)
+
+
+def _grouped(docs: DataFrame, width: int, similarity: float, budget: int | None) -> DataFrame:
     own = other_columns(docs, "_fp", "_component", "_kept", "_first", "_sh_row")
     if budget is None:
         marks = docs.select(*own, marks_udf(docs, width, similarity)(F.col("text")).alias("_first"), F.monotonically_increasing_id().alias("_sh_row"))

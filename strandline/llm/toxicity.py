@@ -170,9 +170,9 @@ def learned_insults(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[li
     # a stem is written with a star
     entries = lambda w: F.concat(F.array(w), *[F.when(F.length(w) > k, F.array(F.concat(F.substr(w, F.lit(1), F.lit(k)), F.lit("*")))).otherwise(F.array().cast("array<string>")) for k in (4, 5, 6, 7)])
     held = clauses.select("doc_id", "toxic", "h", F.explode(F.flatten(F.transform("words", entries))).alias("e")).where(F.length("e") > 2)
-    # only marks of toxic rows can pass; they are as many as the toxic words of the sample
+    # only marks of toxic rows can pass; they are fewer than the toxic words of the sample, whose bound so bounds what is broadcast
     seen = held.where("toxic = 1").groupBy("e").agg(F.countDistinct("doc_id").alias("k")).where(F.col("k") >= FEWEST).select("e")
-    once = held.join(seen, "e", "left_semi").groupBy("e", "doc_id", "toxic").agg(F.min("h").alias("h")).groupBy("e", "h").agg(F.min("toxic").alias("toxic"))
+    once = held.join(F.broadcast(seen), "e", "left_semi").groupBy("e", "doc_id", "toxic").agg(F.min("h").alias("h")).groupBy("e", "h").agg(F.min("toxic").alias("toxic"))
     marks = once.groupBy("e").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     best = marks.where(lower_share(F.col("bad"), F.col("n")) > LEAST_SHARE).collect()  # of the sample's words
     return distinct_marks([(r.e, r.bad, r.n) for r in best])
