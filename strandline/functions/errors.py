@@ -63,9 +63,11 @@ def named_recall(names: Column, text: Column) -> Column:
 def scored(samples: DataFrame) -> DataFrame:
     """``samples`` (said, heard, names) with the counts of ``edits``, ``rate`` (errors by words said; 1 if nothing was heard, null if nothing was said but something heard) and ``recall`` of the names.
 
-    ``Samples`` are dealt anew before they are compared, as the work for a row grows with the square of its words, whatever file it came in.
+    Rows are dealt anew before they are compared, as a few files can hold much work: about 5 microseconds a cell, so 0.04 s for 90 words each and hours
+    for 50,000.
     """
-    rows = samples.withColumns({"_said": words(F.col("said")), "_heard": words(F.col("heard"))})
+    tasks = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = samples.repartition(tasks, F.xxhash64("said", "heard")).withColumns({"_said": words(F.col("said")), "_heard": words(F.col("heard"))})
     rows = rows.withColumn("_e", edits(F.col("_said"), F.col("_heard")))
     rate = F.when(F.coalesce("heard", F.lit("")) == "", 1.0).when(F.size("_said") > 0, F.col("_e.errors") / F.size("_said")).when(F.size("_heard") == 0, 0.0)
     return rows.select(*samples.columns, F.size("_said").alias("n_said"), "_e.*", rate.alias("rate"), named_recall(F.col("names"), F.col("heard")).alias("recall"))
