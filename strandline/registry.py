@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules whose import registers queries.
-MODULES = ("strandline.plans.burden", "strandline.plans.response", "strandline.plans.linking", "strandline.plans.decisions", "strandline.plans.merging", "strandline.plans.carry", "strandline.plans.graph", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.operators.review", "strandline.operators.identity", "strandline.operators.evidence", "strandline.operators.chains", "strandline.operators.agreement", "strandline.operators.containment", "strandline.operators.ingest", "strandline.operators.search", "strandline.operators.vectors", "strandline.streaming.appends", "strandline.streaming.limits", "strandline.functions.text", "strandline.functions.spans", "strandline.functions.errors", "strandline.functions.measures")
+MODULES = ("strandline.plans.burden", "strandline.plans.response", "strandline.plans.linking", "strandline.plans.decisions", "strandline.plans.merging", "strandline.plans.carry", "strandline.plans.graph", "strandline.operators.summaries", "strandline.operators.longitudinal", "strandline.operators.readers", "strandline.operators.review", "strandline.operators.identity", "strandline.operators.evidence", "strandline.operators.chains", "strandline.operators.agreement", "strandline.operators.containment", "strandline.operators.policy", "strandline.operators.ingest", "strandline.operators.search", "strandline.operators.vectors", "strandline.streaming.appends", "strandline.streaming.limits", "strandline.functions.text", "strandline.functions.spans", "strandline.functions.errors", "strandline.functions.measures")
 
 
 def query(name: str, sql: str | None = None):
