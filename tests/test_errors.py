@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,16 @@ def test_long_texts(spark):
     assert tuple(e) == (10, 0, 10, 0)
 
 
+def test_time_of_long_texts(spark):
+    """A pair of 6,000 words, 36 million cells, takes seconds, and lists may be null or hold nulls."""
+    a = F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda i: F.concat(F.lit("w"), i * i % 1999))
+    start = time.monotonic()
+    e = spark.range(1).select(errors.edits(a, F.slice(a, 1001, 5000)).alias("e")).first()[0]
+    assert tuple(e) == (1000, 0, 1000, 0) and time.monotonic() - start < 60
+    odd = spark.createDataFrame([(None, ["a"]), (["a"], None), (["a", None], ["a", "b", None])], "a array<string>, b array<string>")
+    assert [r[0] and tuple(r[0]) for r in odd.select(errors.edits(F.col("a"), F.col("b"))).collect()] == [None, None, (1, 0, 0, 1)]
+
+
 def test_word_errors_of_turns(spark):
     rows = errors._turns(spark, SF).select("conv_id", "turn", "said", "heard").collect()
     found = {(r.conv_id, r.turn): (r.errors, r.deleted, r.inserted) for r in errors.word_errors(spark, SF).collect()}
