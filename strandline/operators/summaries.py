@@ -127,11 +127,11 @@ def children_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("split_candidates", """SELECT a.p_partkey AS left_key, b.p_partkey AS right_key FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey AND abs(a.p_size - b.p_size) <= 5""")
 def split_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unordered pairs of one type that may be the same: hashed on the equal columns, the rest is a residual of the join."""
-    p = table(spark, sf_dir, "part")
-    a, b = p.alias("a"), p.alias("b")
-    close = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_type") == F.col("b.p_type")) & (F.col("a.p_partkey") < F.col("b.p_partkey")) & (F.abs(F.col("a.p_size") - F.col("b.p_size")) <= 5)
-    return a.join(b, close).select(F.col("a.p_partkey").alias("left_key"), F.col("b.p_partkey").alias("right_key"))
+    """Unordered pairs of one type that may be the same: each is looked up under all sizes that fit, so equal keys lead to pairs of the result or their mirror images only."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("long").alias("p_size"))
+    a = p.select(F.col("p_partkey").alias("left_key"), "p_brand", "p_type", F.explode(F.sequence(F.col("p_size") - 5, F.col("p_size") + 5)).alias("p_size"))
+    b = p.withColumnRenamed("p_partkey", "right_key")
+    return a.join(b, ["p_brand", "p_type", "p_size"]).where("left_key < right_key").select("left_key", "right_key")
 
 
 @query("rater_agreement", """WITH p AS (SELECT coalesce(CAST(quality AS VARCHAR), '∅null') AS a, coalesce(CAST(toxic AS VARCHAR), '∅null') AS b FROM labels), c AS (SELECT a, b, count(*) AS n FROM p GROUP BY ALL),
