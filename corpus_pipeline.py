@@ -9,7 +9,7 @@ from strandline.llm.common import Shelf, table
 from strandline.llm.decontaminate import contamination
 from strandline.llm.mixing import mix
 from strandline.llm.sharding import shuffle_into_shards
-from strandline.llm.simhash import group_near_duplicates
+from strandline.llm.simhash import components, group_near_duplicates
 from strandline.llm.toxicity import toxicity
 
 
@@ -19,8 +19,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    return group_near_duplicates(docs).where("_kept").select(*docs.columns)
+    """One document of each group of near copies stays: the one with the smallest id.
+
+    Fingerprints within 4 bits link, as in op6; so do texts whose sets of shingles are similar, which the bits may not tell.
+    Documents without an id are told apart by similarity alone.
+    """
+    prints = group_near_duplicates(docs.select("doc_id", "text"), width=4, budget=4).select("doc_id", F.col("_component").alias("a"))
+    similar = group_near_duplicates(docs)
+    roots = components(prints.join(similar.select("doc_id", F.col("_component").alias("b")), "doc_id").select("a", "b").distinct())
+    kept = similar.where("_kept").join(roots, F.col("_component") == F.col("node"), "left")
+    return kept.where("root is null or root = _component").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,14 @@ def test_stages(spark):
     assert kept[3] == Counter({r.doc_id: r._mix.copies for r in mix(fourth).collect() if r._mix.copies})
 
 
+def test_near_duplicates_by_fingerprint_and_by_set(spark):
+    """1 and 2 have one fingerprint but few shingles in common, 2 and 4 are similar: all three are one group."""
+    tail = lambda w, n=30: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(1, "one two three four five " * 60 + tail("x")), (2, "one two three four five " * 60 + tail("y")), (3, tail("z")), (4, "one two three four five " + tail("y")), (None, tail("v"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id or 0 for r in pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 1, 3]
+
+
 def test_run_keeps_repeats(spark):
     out = pipeline.run(spark, SF).toPandas()
     assert len(out) > 0 and set(table(spark, SF, "documents").columns) < set(out.columns)
