@@ -48,6 +48,15 @@ def test_sentences(spark):
     assert [(s, text[a:b]) for _, s, a, b in folded] == [("Mild edema vs. prominent veins;", "Mild edema  vs. prominent\n veins;"), ("No effusion", "No  effusion")]
 
 
+def test_folded_rows(spark):
+    """Pieces stand at their offsets, whatever batches they come in."""
+    texts = {1: "Mild edema  vs. prominent\n veins; ok. No  effusion\n", 2: None, 3: "", 4: "Größe  der Läsion; 漢字 \U0001f600 und  mehr davon. " * 50}
+    rows = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for held in (1, 1 << 22):
+        found = sorted(map(tuple, spans.folded_rows(rows, "id", held).collect()))
+        assert found == sorted((i, *f, texts[i][f[2] : f[3]]) for i, t in texts.items() for f in spans.folded_sentences_of(t)) and len(found) > 100
+
+
 def test_findings(spark):
     rows = spark.createDataFrame([(1, REPORT), (2, "Fracture. No evidence of mass or nodule, which cannot be excluded 4 mm."), (3, ""), (4, None)], "id int, text string")
     found = spans.spread(rows, spans.rule_findings(RULES)).orderBy("id", "place").collect()
