@@ -1,9 +1,30 @@
-"""Reading the fixture tables."""
+"""Reading the fixture tables, and tables that hold intermediate results."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; a folder of this machine only where nothing is configured and all runs here (tests)."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="strandline-")
+    return f"{base.rstrip('/')}/strandline-{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a table in the shared folder: worked out once, however often it is used."""
+    path = new_folder(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.registry import query
-from strandline.sources.tables import table
+from strandline.sources.tables import new_folder, table
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; a folder of this machine only where nothing is configured and all runs here (tests)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="strandline-")
-    return f"{base.rstrip('/')}/strandline-stream-{uuid.uuid4().hex[:12]}"
+    return new_folder(spark, "stream")
 
 
 def run_batches(stream: DataFrame, folder: str, mode: str) -> DataFrame:

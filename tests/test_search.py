@@ -65,6 +65,18 @@ def test_common_grams_are_left_out(spark, monkeypatch):
     assert search.search(index, asked, k=1).first() == whole and whole.id == 123 and whole.score == 1.0
 
 
+def test_grams_are_worked_out_once(spark, monkeypatch):
+    """Common words and numbers: the last plan reads tables and makes no grams anew, and few of the texts that share a looked-up gram are scored in full."""
+    texts = [(i, f"site{i % 7} example page {i * 7919 % 100_003:05d}") for i in range(4000)]
+    queries = [(i, t.replace("s", "z")) for i, t in texts[::80]]
+    kept, keep = {}, getattr(search, "written", None)
+    monkeypatch.setattr(search, "written", lambda df, tag: kept.setdefault(tag, keep(df, tag)), raising=False)
+    found = search.search(search.Index(spark.createDataFrame(texts, "id long, text string")), spark.createDataFrame(queries, "query_id long, text string"))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.id): r["rank"] for r in found.collect()} == {p: r for p, (_, r) in brute(texts, queries, 5).items()}
+    assert kept["summed"].count() < 60 * len(queries)
+
+
 def test_matched(spark):
     concepts = [("r1", "Lower lobe", ["basal lobe", None]), ("r2", "lobe", None), ("r3", "liver", []), ("r4", None, ["lowr lobe"])]
     found = search.matched(spark.createDataFrame([(1, "Lower  LOBE"), (2, " "), (3, "lobe")], "query_id int, text string"), spark.createDataFrame(concepts, "concept_id string, label string, synonyms array<string>"), k=3)
